@@ -1,0 +1,9 @@
+"""Queries of the engine and their SQL oracles."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
