@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
-from .common import table
+from . import bpe, langid, mixing, sharding, simhash, tokencount
+from .common import id_remainder, table
+
+
+def byte_bpe_path() -> str:
+    """The byte-level BPE file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_sections(table(spark, sf_dir, "documents"), byte_bpe_path(), rule="most", sections=tokencount.sentence_ends)
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), max_repeat=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -25,12 +36,26 @@ def op8_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
+def op10_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, modulus=4, held_out=2)
+    labelled = langid.identify(docs.select("doc_id", "text"), model)
+    return labelled.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards,
+        op4_offset_token_counts,
         op7_pareto_mix,
         op8_simhash_classes,
+        op9_transducer_bpe,
+        op10_viterbi_language,
     )
 }
 
