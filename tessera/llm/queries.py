@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, sharding, simhash, tokencount
+from . import bpe, html, langid, lm, mixing, sharding, simhash, tokencount
 from .common import id_remainder, table
 
 
@@ -22,10 +22,19 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_log_bloom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), modulus=10, held_out=0, alpha=0.1)
+
+
 def op4_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_sections(table(spark, sf_dir, "documents"), byte_bpe_path(), rule="most", sections=tokencount.sentence_ends)
 
 
+def op6_max_subsequence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0), max_repeat=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -51,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards,
+        op3_log_bloom_scores,
         op4_offset_token_counts,
+        op6_max_subsequence_text,
         op7_pareto_mix,
         op8_simhash_classes,
         op9_transducer_bpe,
