@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, lm, mixing, sharding, simhash, tokencount
+from . import bpe, embeddings, html, langid, lm, mixing, sharding, simhash, tokencount, topk
 from .common import id_remainder, table
 
 
@@ -22,6 +22,10 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64, every=20)
+
+
 def op3_log_bloom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), modulus=10, held_out=0, alpha=0.1)
 
@@ -30,6 +34,10 @@ def op4_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_sections(table(spark, sf_dir, "documents"), byte_bpe_path(), rule="most", sections=tokencount.sentence_ends)
 
 
+def op5_collision_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_max_subsequence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.fit(pages))
@@ -60,8 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards,
+        op2_pivot_top_k,
         op3_log_bloom_scores,
         op4_offset_token_counts,
+        op5_collision_classes,
         op6_max_subsequence_text,
         op7_pareto_mix,
         op8_simhash_classes,
