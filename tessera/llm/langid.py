@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from .bpe import _Memory
 from .common import id_remainder
 
 #: First and last code points of the letters of scripts: fixed values of the Unicode standard.
@@ -69,36 +68,52 @@ def script_of(letter: str) -> str:
     return SCRIPTS[k][2] if k >= 0 and ord(letter) <= SCRIPTS[k][1] else "other"
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of one lower-cased run of letters. Long runs, as of scripts without spaces, have no feature of their own as a word."""
-    w = f"<{word}>"
-    grams = [w[i : i + 3] for i in range(len(w) - 2)] + [w[:3] + "^", w[-3:] + "$"]
-    if len(word) <= 24:
-        grams.append(f"={word}")
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of lower-cased runs of letters: (all features, in the order of the words; where each word's begin).
+
+    Long runs, as of scripts without spaces, have no feature of their own as a word.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    grams = (codes[:-2] * _MIX[0] + codes[1:-1] * _MIX[1] + codes[2:] * _MIX[2]) * _MIX[3] >> np.uint64(40)
+    ends = np.cumsum(sizes + 2)
+    own = np.ones(len(codes), bool)  # not the two positions at which the next word begins within a trigram
+    own[ends - 1] = own[ends - 2] = False
+    grams = grams[own[: len(grams)]]
+    first = np.cumsum(sizes) - sizes
+    # Behind its trigrams, each word has its first and last trigram once more, marked, and itself.
+    whole = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) if len(w) <= 24 else 0 for w in words], np.uint64)
+    more = np.stack([grams[first] * np.uint64(3) + np.uint64(1), grams[first + sizes - 1] * np.uint64(5) + np.uint64(2), whole], 1)
+    out, starts = np.empty(len(grams) + 3 * len(words), np.uint64), first + 3 * np.arange(len(words))
+    word = np.repeat(np.arange(len(words)), sizes)
+    out[np.arange(len(grams)) + 3 * word] = grams
+    for k in range(3):
+        out[starts + sizes + k] = more[:, k]
+    return (out % np.uint64(BUCKETS)).astype(np.int64), starts
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 @dataclass
 class Model:
     langs: list[str]
-    logp: np.ndarray  # languages x buckets
+    logp: np.ndarray  # buckets x languages
     scripts: dict[str, np.ndarray]  # script to a mask of languages
 
-    def piece(self, piece: str) -> tuple[np.ndarray, int] | None:
-        """Scores and number of letters of a run of non-space characters; None without letters."""
-        runs = LETTERS.findall(piece)
+    def runs(self, runs: list[str]) -> np.ndarray:
+        """A row of scores for each run of letters: 0 for its best language, below that for others; all 0 if no language uses its script."""
         if not runs:
-            return None
-        total, letters = np.zeros(len(self.langs)), 0
-        for run in runs:
-            letters += len(run)
-            mask = self.scripts.get(script_of(run[0]))
-            if mask is None:
-                continue
-            s = self.logp[:, features(run.lower())].sum(axis=1)
-            best = s[mask].max()
-            total += np.where(mask, np.maximum(s, best - CLIP), best - CLIP) - best
-        return total, letters
+            return np.zeros((0, len(self.langs)))
+        buckets, starts = features([r.lower() for r in runs])
+        s = np.add.reduceat(self.logp[buckets], starts, axis=0)
+        names = [script_of(r[0]) for r in runs]
+        used = {name: self.scripts.get(name, np.zeros(len(self.langs), bool)) for name in set(names)}
+        mask = np.array([used[name] for name in names])
+        best = np.where(mask, s, -np.inf).max(axis=1, keepdims=True)
+        known = mask.any(axis=1)
+        best[~known] = 0
+        return np.where(known[:, None], np.where(mask, np.maximum(s, best - CLIP), best - CLIP) - best, 0.0)
 
     def known(self, piece: str) -> bool:
         return any(script_of(r[0]) in self.scripts for r in LETTERS.findall(piece))
@@ -129,51 +144,105 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+#: Pieces that a worker remembers before it starts afresh, and characters of text that it labels at a time.
+MEMORY, CHUNK = 400_000, 4_000_000
+
+
 class Labeler:
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
-        self.pieces = _Memory(lambda p: model.piece(p) or ())
-
-    def path(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, list[str]]:
-        """(pieces with letters, their language numbers or -1, their letters)."""
-        found = [(p, s) for p in text.split() if (s := self.pieces[p])]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}  # of a piece: its row below, or -1 without letters
+        self.scores, self.letters, self.silent = np.zeros((0, len(self.model.langs))), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def learn(self, pieces: set[str]) -> None:
+        new = pieces - self.number.keys()
+        if len(self.number) + len(new) > MEMORY:
+            self.forget()
+            new = pieces
+        found = [(p, r) for p in new if (r := [p] if p.isalpha() else LETTERS.findall(p))]
+        self.number.update(dict.fromkeys(new, -1))
         if not found:
-            return [], np.empty(0, np.int64), np.empty(0, np.int64)
-        scores = np.array([s[0] for _, s in found])
-        letters = np.array([s[1] for _, s in found], np.int64)
-        path = viterbi(scores, self.penalty)
-        silent = np.flatnonzero(~scores.any(axis=1))  # all languages alike: of no script that is known, perhaps
-        for t in silent.tolist():
-            if not self.model.known(found[t][0]):
-                path[t] = -1
-        return [p for p, _ in found], path, letters
-
-    def label(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.langs:
-            return "und", 0.0
-        _, path, letters = self.path(text)
-        if not len(path):
-            return "und", 0.0
-        votes = np.bincount(path[path >= 0], weights=letters[path >= 0], minlength=len(self.model.langs))
-        best = int(votes.argmax())
-        return self.model.langs[best], float(votes[best] / letters.sum())
+            return
+        self.number.update(zip([p for p, _ in found], range(len(self.letters), len(self.letters) + len(found)), strict=True))
+        runs = list({x for _, r in found for x in r})
+        of_run = dict(zip(runs, range(len(runs)), strict=True))
+        rows, first = np.array([of_run[x] for _, r in found for x in r]), np.cumsum([0] + [len(r) for _, r in found[:-1]])
+        scores = np.add.reduceat(self.model.runs(runs)[rows], first, axis=0)
+        silent = ~scores.any(axis=1)  # all languages alike: of no script that is known, perhaps
+        silent[silent] = [not self.model.known(found[k][0]) for k in np.flatnonzero(silent).tolist()]
+        self.scores = np.concatenate([self.scores, scores])
+        self.letters = np.concatenate([self.letters, [sum(map(len, r)) for _, r in found]])
+        self.silent = np.concatenate([self.silent, silent])
+
+    def path(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of learned pieces: (positions of those with letters, their language numbers or -1, their letters)."""
+        rows = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        at = np.flatnonzero(rows >= 0)
+        rows = rows[at]
+        path = viterbi(self.scores[rows], self.penalty) if len(rows) else rows
+        path[self.silent[rows]] = -1
+        return at, path, self.letters[rows]
+
+    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        start = 0
+        while start < len(texts):
+            stop, held = start, 0
+            while stop < len(texts) and held < CHUNK:
+                held += len(texts[stop] or "")
+                stop += 1
+            split = [(t or "").split() for t in texts[start:stop]]
+            start = stop
+            if not self.model.langs:
+                out += [("und", 0.0)] * len(split)
+                continue
+            self.learn({p for ps in split for p in ps})
+            for pieces in split:
+                _, path, letters = self.path(pieces)
+                if not len(path):
+                    out.append(("und", 0.0))
+                    continue
+                votes = np.bincount(path[path >= 0], weights=letters[path >= 0], minlength=len(self.model.langs))
+                best = int(votes.argmax())
+                out.append((self.model.langs[best], float(votes[best] / letters.sum())))
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, language) of the runs of one language, in characters."""
-        pieces, path, _ = self.path(text)
+        pieces = text.split()
+        if not self.model.langs or not pieces:
+            return []
+        self.learn(set(pieces))
+        positions, path, _ = self.path(pieces)
         out: list[tuple[int, int, str]] = []
-        at = 0
-        for p, k in zip(pieces, path.tolist(), strict=True):
-            start = text.index(p, at)
-            at = start + len(p)
-            lang = self.model.langs[k] if k >= 0 else "und"
+        at, k = 0, 0
+        for i, p in enumerate(pieces):
+            begin = text.index(p, at)
+            at = begin + len(p)
+            if k == len(positions) or positions[k] != i:
+                continue
+            lang = self.model.langs[path[k]] if path[k] >= 0 else "und"
+            k += 1
             if out and out[-1][2] == lang:
                 out[-1] = (out[-1][0], at, lang)
             else:
-                out.append((start, at, lang))
+                out.append((begin, at, lang))
         return out
 
 
+_LABELERS: dict[str, object] = {}
+
+
+def labeler_of(sent, penalty: float) -> Labeler:
+    """This worker's labeler for a broadcast model: what it remembers serves all tasks that the worker runs."""
+    if _LABELERS.get("model") is not sent.value or _LABELERS.get("penalty") != penalty:
+        _LABELERS.update(model=sent.value, penalty=penalty, labeler=Labeler(sent.value, penalty))
+    return _LABELERS["labeler"]
+
+
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 3000, alpha: float = 0.3) -> Model:
     """Learns from a hash sample of about ``per_lang`` labelled documents of each language, all outside the held-out fold.
 
@@ -183,7 +252,7 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 30
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros((0, BUCKETS)), {})
+        return Model([], np.zeros((BUCKETS, 0)), {})
     share = F.element_at(F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, per_lang / sizes[name]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
 
@@ -195,8 +264,10 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 30
         out = []
         for lang, seen in words.items():
             counts, scripts = np.zeros(BUCKETS, np.int64), Counter()
+            buckets, starts = features(list(seen)) if seen else (np.empty(0, np.int64), np.empty(0, np.int64))
+            times = np.repeat(np.array(list(seen.values()), np.int64), np.diff(np.append(starts, len(buckets))))
+            counts += np.bincount(buckets, weights=times, minlength=BUCKETS).astype(np.int64)
             for w, n in seen.items():
-                np.add.at(counts, features(w), n)
                 scripts[script_of(w[0])] += n * len(w)
             out += [(lang, f, "", int(counts[f])) for f in np.flatnonzero(counts).tolist()] + [(lang, -1, s, n) for s, n in scripts.items()]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
@@ -214,30 +285,28 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 30
         for script, n in zip(part.script, part.n, strict=True):
             if n >= SCRIPT_SHARE * part.n.sum():
                 masks.setdefault(script, np.zeros(len(langs), bool))[number[lang]] = True
-    return Model(langs, np.log(table / table.sum(axis=1, keepdims=True)), masks)
+    return Model(langs, np.ascontiguousarray(np.log(table / table.sum(axis=1, keepdims=True)).T), masks)
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = False) -> DataFrame:
-    """Adds lang_pred and score (and spans) to docs (text); whole texts, one narrow pass."""
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """Adds the columns ``names`` (the last with ``spans``) to docs (text), in place of columns of these names; whole texts, one narrow pass."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names, at = docs.columns, docs.columns.index("text")
-    clash = {"lang_pred", "score", *(["spans"] * spans)} & set(names)
-    if clash:
-        raise ValueError(f"columns of these names are in the input already: {sorted(clash)}")
+    names = names if spans else names[:2]
+    docs = docs.drop(*names)
+    at = docs.columns.index("text")
 
     def run(batches):
-        labeler = Labeler(sent.value, penalty)
+        labeler = labeler_of(sent, penalty)
         for b in batches:
             texts = b.column(at).to_pylist()
-            found = [labeler.label(t) for t in texts]
+            found = labeler.label(texts)
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 more.append(pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in labeler.spans(t or "")] for t in texts], kind))
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*names, "lang_pred", "score", *(["spans"] * spans)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
 
-    schema = StructType(list(docs.schema.fields))
-    schema.add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType())
     if spans:
-        schema.add("spans", ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("lang", StringType())))
+        schema.add(names[2], ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("lang", StringType())))
     return docs.mapInArrow(run, schema)
