@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reach_workers
-from . import generate
+from . import audit, generate
 
-MODULES = (generate,)
+MODULES = (generate, audit)
 
 
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

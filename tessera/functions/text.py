@@ -92,14 +92,13 @@ def canonical_for_match(text: str) -> str:
     return shown.translate(str.maketrans(FOLD_FROM, FOLD_TO)).lower()
 
 
-@F.pandas_udf("string")
-def _canonical(s: pd.Series) -> pd.Series:
+def _canonical_series(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else canonical_for_match(x))
 
 
 def security_fold(c: Column) -> Column:
     """canonical_for_match as a column; ASCII and plain Turkish text never leaves the JVM's own functions."""
-    return F.when(c.rlike(rf"\A[\u0000-\u007f{FOLD_FROM}]*\z"), fold(c)).otherwise(_canonical(c))
+    return F.when(c.rlike(rf"\A[\u0000-\u007f{FOLD_FROM}]*\z"), fold(c)).otherwise(F.pandas_udf(_canonical_series, "string")(c))
 
 
 def display_path(parts: list[str | int]) -> str:
