@@ -23,9 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def site(kind: str, key: str, field: str) -> tuple[Column, str]:
-    """A row's site, for Spark and for the oracle."""
-    return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"), F.lit(f"/{field}")), f"concat('{kind}/', {key}, '/{field}')"
+def site(kind: str, key: str, field: str) -> Column:
+    """A row's site."""
+    return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"), F.lit(f"/{field}"))
+
+
+def site_sql(kind: str, key: str, field: str) -> str:
+    """The same for the oracle."""
+    return f"concat('{kind}/', {key}, '/{field}')"
 
 
 def drawn(spark: SparkSession, df: DataFrame, keep: list[str], at: Column, plan: dr.Plan, columns: Callable[[Column], dict[str, Column]]) -> DataFrame:
@@ -41,13 +46,13 @@ def source(table: str, key: str, sql_site: str) -> str:
 
 
 def stream_seed(spark, sf_dir):
-    at, _ = site("customer", "c_custkey", "seed")
+    at = site("customer", "c_custkey", "seed")
     with u64.wrapping(spark):
         return read(spark, sf_dir, "customer").select("c_custkey", F.format_string("%016x", u64.stream_seed(PREFIX, at)).alias("seed_hex"))
 
 
 def prng_u64(spark, sf_dir):
-    at, _ = site("customer", "c_custkey", "raw")
+    at = site("customer", "c_custkey", "raw")
     with u64.wrapping(spark):
         seeded = u64.with_streams(read(spark, sf_dir, "customer").select("c_custkey"), {"seed": (PREFIX, at)})
         out = seeded.select("c_custkey", F.posexplode(u64.outputs(F.col("seed"), 4)).alias("k", "z"))
@@ -57,7 +62,7 @@ def prng_u64(spark, sf_dir):
 def draw_bounded(spark, sf_dir):
     plan = dr.Plan()
     reads = {f"below_{n}": plan.take(n) for n in (7, 1, 1000, 1 << 40, 10**9 + 7)}
-    at, _ = site("orders", "o_orderkey", "bounded")
+    at = site("orders", "o_orderkey", "bounded")
     return drawn(spark, read(spark, sf_dir, "orders"), ["o_orderkey"], at, plan, lambda d: {k: r(d)[0] for k, r in reads.items()})
 
 
@@ -65,14 +70,14 @@ def draw_wide(spark, sf_dir):
     """Bounds above 2^62, where every other candidate may be rejected."""
     plan = dr.Plan()
     reads = [plan.take((1 << 63) + 1), plan.take((1 << 63) + 1)]
-    at, _ = site("customer", "c_custkey", "wide")
+    at = site("customer", "c_custkey", "wide")
     return drawn(spark, read(spark, sf_dir, "customer"), ["c_custkey"], at, plan, lambda d: {f"draw_{i}": u64.as_decimal(r(d)[0]).cast("string") for i, r in enumerate(reads)})
 
 
 def draw_range(spark, sf_dir):
     plan = dr.Plan()
     a, b = dr.uniform(plan, -50, 50), dr.uniform(plan, 2005, 2026)
-    at, _ = site("orders", "o_orderkey", "range")
+    at = site("orders", "o_orderkey", "range")
     return drawn(spark, read(spark, sf_dir, "orders"), ["o_orderkey"], at, plan, lambda d: {"around_zero": a(d), "model_year": b(d)})
 
 
@@ -80,7 +85,7 @@ def draw_weighted(spark, sf_dir):
     plan = dr.Plan()
     w, one, tenth = dr.pick_weighted(plan, dr.scale_weights(["0.55", "0", "0.30", "0.15"])), dr.pick_weighted(plan, dr.scale_weights(["1"])), dr.pick_weighted(plan, dr.scale_weights(["1.0"]))
     last = plan.take(100)
-    at, _ = site("customer", "c_custkey", "weighted")
+    at = site("customer", "c_custkey", "weighted")
     return drawn(spark, read(spark, sf_dir, "customer"), ["c_custkey"], at, plan, lambda d: {"chosen": w(d), "only": one(d), "only_drawn": tenth(d), "next_draw": last(d)[0]})
 
 
@@ -89,7 +94,7 @@ def draw_bernoulli_null(spark, sf_dir):
     null, fine = dr.bernoulli(plan, "0.35"), dr.bernoulli(plan, "0.350")
     never, always = dr.bernoulli(plan, "0"), dr.bernoulli(plan, "1")
     value = plan.take(1000)
-    at, _ = site("events", "event_id", "nullable")
+    at = site("events", "event_id", "nullable")
     return drawn(spark, read(spark, sf_dir, "events"), ["event_id"], at, plan, lambda d: {"value": F.when(~null(d), value(d)[0]), "fine": fine(d), "never": never(d), "always": always(d)})
 
 
@@ -99,7 +104,7 @@ START, END = 1_767_225_600, 1_798_761_599  # 2026 in UTC
 def draw_instant(spark, sf_dir):
     plan = dr.Plan()
     t = dr.instant_in(plan, START, END)
-    at, _ = site("orders", "o_orderkey", "instant")
+    at = site("orders", "o_orderkey", "instant")
     return drawn(spark, read(spark, sf_dir, "orders"), ["o_orderkey"], at, plan, lambda d: {"instant": dr.local_datetime(t(d)), "local_day": dr.local_date(t(d))})
 
 
@@ -107,7 +112,7 @@ def draw_age_window(spark, sf_dir):
     plan = dr.Plan()
     low, high = dr.age_window(START, 18, 65)
     t = dr.instant_in(plan, low, high)
-    at, _ = site("customer", "c_custkey", "birth")
+    at = site("customer", "c_custkey", "birth")
     return drawn(spark, read(spark, sf_dir, "customer"), ["c_custkey"], at, plan, lambda d: {"birth_date": dr.local_date(t(d))})
 
 
@@ -125,7 +130,7 @@ def gen_seq_id(spark, sf_dir):
 def gen_lexicon(spark, sf_dir):
     plan = dr.Plan()
     first, last, place = dr.from_list(plan, GIVEN), dr.from_list(plan, SURNAMES), dr.from_list(plan, PLACES)
-    at, _ = site("supplier", "s_suppkey", "name")
+    at = site("supplier", "s_suppkey", "name")
     return drawn(spark, read(spark, sf_dir, "supplier"), ["s_suppkey"], at, plan, lambda d: {"first_name": first(d), "last_name": last(d), "place": place(d)})
 
 
@@ -135,14 +140,14 @@ CHANNELS, CHANNEL_WEIGHTS = ["mobile", "web", "pos", "atm", "branch"], ["0.52",
 def gen_enum(spark, sf_dir):
     plan = dr.Plan()
     k = dr.pick_weighted(plan, dr.scale_weights(CHANNEL_WEIGHTS))
-    at, _ = site("orders", "o_orderkey", "channel")
+    at = site("orders", "o_orderkey", "channel")
     return drawn(spark, read(spark, sf_dir, "orders"), ["o_orderkey"], at, plan, lambda d: {"channel": F.get(F.array(*map(F.lit, CHANNELS)), k(d))})
 
 
 def gen_uniform(spark, sf_dir):
     plan = dr.Plan()
     k = dr.uniform(plan, 1, 600)
-    at, _ = site("supplier", "s_suppkey", "score")
+    at = site("supplier", "s_suppkey", "score")
     return drawn(spark, read(spark, sf_dir, "supplier"), ["s_suppkey"], at, plan, lambda d: {"score": k(d)})
 
 
@@ -150,7 +155,7 @@ def _family(name: str, policy: str) -> Query:
     def run(spark, sf_dir):
         plan = dr.Plan()
         value = ids.FAMILIES[name].make(plan, policy)
-        at, _ = site("customer", "c_custkey", name)
+        at = site("customer", "c_custkey", name)
         shown = (lambda c: ids.mask_pan(c)) if name == "PAN" else (lambda c: c)
         df = read(spark, sf_dir, "customer").select("c_custkey")
         if name in ("PHONE",):
@@ -163,7 +168,7 @@ def _family(name: str, policy: str) -> Query:
 
 def gen_email(spark, sf_dir):
     """Names from the place lists for most rows, none for every tenth: those draw a serial first."""
-    at, _ = site("supplier", "s_suppkey", "email")
+    at = site("supplier", "s_suppkey", "email")
     names = gen_lexicon(spark, sf_dir).withColumn("named", F.col("s_suppkey") % 10 != 0)
     with_names, without = dr.Plan(), dr.Plan()
     a = ids.make_email(with_names, F.col("first_name"), F.col("last_name"), nameless=False)
@@ -216,7 +221,7 @@ def _local_day(epoch: str) -> str:
 
 
 def _sql(table: str, key: str, field: str, k: int, columns: str, kind: str | None = None, prefix: bytes = PREFIX) -> str:
-    _, s = site(kind or table, key, field)
+    s = site_sql(kind or table, key, field)
     return f"WITH {o.draws(source(table, key, s), prefix, k)} SELECT id AS {key}, {columns} FROM d"
 
 
@@ -263,7 +268,7 @@ def _email_sql() -> str:
 def _wide_sql() -> str:
     """Accepted candidates of the bound 2^63 + 1, of which only those below it are."""
     n = (1 << 63) + 1
-    _, s = site("customer", "c_custkey", "wide")
+    s = site_sql("customer", "c_custkey", "wide")
     kept = f"list_filter(d, lambda z: z < {n}::UHUGEINT)"
     return f"WITH {o.draws(source('customer', 'c_custkey', s), PREFIX, 106)} SELECT id AS c_custkey, {kept}[1]::VARCHAR AS draw_0, {kept}[2]::VARCHAR AS draw_1 FROM d"
 
@@ -286,8 +291,8 @@ QUERIES: dict[str, Query] = {
 } | {"gen_phone": _family("PHONE", "safe")}
 
 ORACLE: dict[str, str] = {
-    "stream_seed": f"WITH {o.seeds(source('customer', 'c_custkey', site('customer', 'c_custkey', 'seed')[1]), PREFIX)} SELECT id AS c_custkey, lower(lpad(to_hex(seed::UBIGINT), 16, '0')) AS seed_hex FROM s",
-    "prng_u64": f"WITH {o.draws(source('customer', 'c_custkey', site('customer', 'c_custkey', 'raw')[1]), PREFIX, 4)} SELECT id AS c_custkey, (k - 1)::BIGINT AS k, d[k]::VARCHAR AS output FROM (SELECT id, d, unnest(range(1, 5)) AS k FROM d)",
+    "stream_seed": f"WITH {o.seeds(source('customer', 'c_custkey', site_sql('customer', 'c_custkey', 'seed')), PREFIX)} SELECT id AS c_custkey, lower(lpad(to_hex(seed::UBIGINT), 16, '0')) AS seed_hex FROM s",
+    "prng_u64": f"WITH {o.draws(source('customer', 'c_custkey', site_sql('customer', 'c_custkey', 'raw')), PREFIX, 4)} SELECT id AS c_custkey, (k - 1)::BIGINT AS k, d[k]::VARCHAR AS output FROM (SELECT id, d, unnest(range(1, 5)) AS k FROM d)",
     "draw_bounded": _sql("orders", "o_orderkey", "bounded", 4, f"{o.modulo(1, 7)} AS below_7, 0::BIGINT AS below_1, {o.modulo(2, 1000)} AS below_1000, {o.modulo(3, 1 << 40)} AS below_{1 << 40}, {o.modulo(4, 10**9 + 7)} AS below_{10**9 + 7}"),
     "draw_wide": _wide_sql(),
     "draw_range": _sql("orders", "o_orderkey", "range", 2, f"{o.modulo(1, 101)} - 50 AS around_zero, {o.modulo(2, 22)} + 2005 AS model_year"),
