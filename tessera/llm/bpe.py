@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: How byte-level BPE cuts a text before merging: a fixed value of this tokenizer family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of which all Unicode versions in use agree whether they are letters, numbers or spaces. A text with any
@@ -38,8 +40,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _SETTLED = re.compile("[^\x00-՗ -⁯₠-₿←-⇿　-〩ぁ-ゖァ-ヺ一-龥가-힣！-～]")
 #: White space as \s in PRETOKEN means it.
 _ADJACENT = re.compile("[\t-\r \x85\xa0  -     　]{2}")
-#: Pieces that a worker remembers before it starts afresh.
-MEMORY = 200_000
+#: Pieces that a worker remembers in a generation.
+MEMORY = 300_000
+_NO_PAIR = 1 << 62
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,10 +69,11 @@ class Merges:
         of_byte = {self.token_bytes[i]: i for i in vocab.values() if len(self.token_bytes[i]) == 1}
         self.first = [of_byte.get(bytes([b]), -1) for b in range(256)]
         ids = {as_bytes(t): i for t, i in vocab.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        # A pair as a << 20 | b; its rank and the merged id as rank << 20 | id.
+        self.rank: dict[int, int] = {}
         for r, pair in enumerate(data["model"]["merges"]):
             a, b = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.rank.setdefault((ids[a], ids[b]), (r, ids[a + b]))
+            self.rank.setdefault(ids[a] << 20 | ids[b], r << 20 | ids[a + b])
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one pre-token, by merging."""
@@ -77,24 +81,23 @@ class Merges:
         n = len(ids)
         if n < 2:
             return ids
-        rank = self.rank
+        rank = self.rank.get
         if n <= 64:  # short words: the least of the neighbours' ranks, again and again
-            none = (1 << 30, 0)
-            pairs = [rank.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+            pairs = [rank(a << 20 | b, _NO_PAIR) for a, b in zip(ids, ids[1:], strict=False)]
             while pairs:
                 best = min(pairs)
-                if best is none:
+                if best == _NO_PAIR:
                     break
                 i = pairs.index(best)
-                ids[i : i + 2] = [best[1]]
-                del pairs[i]
+                ids[i] = new = best & 0xFFFFF
+                del pairs[i], ids[i + 1]
                 if i:
-                    pairs[i - 1] = rank.get((ids[i - 1], ids[i]), none)
+                    pairs[i - 1] = rank(ids[i - 1] << 20 | new, _NO_PAIR)
                 if i < len(pairs):
-                    pairs[i] = rank.get((ids[i], ids[i + 1]), none)
+                    pairs[i] = rank(new << 20 | ids[i + 1], _NO_PAIR)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r >> 20, i, ids[i], ids[i + 1], r & 0xFFFFF) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -105,10 +108,10 @@ class Merges:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := rank.get((new, ids[k])):
-                    heapq.heappush(heap, (r[0], i, new, ids[k], r[1]))
-            if (h := before[i]) >= 0 and (r := rank.get((ids[h], new))):
-                heapq.heappush(heap, (r[0], h, ids[h], new, r[1]))
+                if (r := rank(new << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (r >> 20, i, new, ids[k], r & 0xFFFFF))
+            if (h := before[i]) >= 0 and (r := rank(ids[h] << 20 | new)) is not None:
+                heapq.heappush(heap, (r >> 20, h, ids[h], new, r & 0xFFFFF))
         return [x for x in ids if x != -2]
 
 
@@ -228,7 +231,7 @@ class Codec:
         return array("I", self.merges.word(raw)).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.words[w] for w in self.pretokens(piece)])
+        return b"".join([self.words[w] for w in cut_piece(piece, self.pretokens)])
 
     def _cut_by_library(self, text: str) -> list[str]:
         if self._library is None:
@@ -266,6 +269,27 @@ class Codec:
         return b"".join(self.token_bytes(ids)).decode("utf-8", "replace")
 
 
+def cut_piece(piece: str, pretokens) -> list[str]:
+    """The pre-tokens of a text without white space but a first space; letters alone, or letters and a stop, need no pattern."""
+    bare = piece[1:] if piece[:1] == " " else piece
+    if bare.isalpha():
+        return [piece]
+    if bare[:-1].isalpha() and bare[-1] in ".,;:!?":
+        return [piece[:-1], piece[-1]]
+    return pretokens(piece)
+
+
+_CODECS: dict[str, object] = {}
+
+
+def codec_of(sent, make) -> Codec:
+    """This worker's codec for a broadcast: what it remembers serves all tasks that the worker runs."""
+    if sent.value is not _CODECS.get("value"):
+        _CODECS.clear()
+        _CODECS.update(value=sent.value, codec=make(sent.value))
+    return _CODECS["codec"]
+
+
 class _Memory(dict):
     """Results by argument, of two generations: when the young one is full it replaces the old one, and what is used again moves over."""
 
@@ -288,37 +312,50 @@ class _Memory(dict):
 
 
 def frequent_words(docs: DataFrame, size: int) -> list[str]:
-    """The ``size`` most frequent pre-tokens over all texts, ties by code point. ``size`` bounds what reaches the driver."""
+    """The most frequent pre-tokens over all texts, ``size`` at most: those above the count at which no more fit.
+
+    Counting is lossy: each time a task hands on its counts it leaves out words seen once since the last time. So a count may fall short by the number
+    of such times, which matters to rare words only, and never to a result. The driver gets a histogram of counts, and the words.
+    """
 
     def count(batches):
         import regex
 
-        cut, pieces = regex.compile(PRETOKEN).findall, Counter()
+        pretokens, lead, rest = regex.compile(PRETOKEN).findall, Counter(), Counter()
 
         def words():
-            total = Counter()
-            for p, n in pieces.items():
-                for w in cut(p):
-                    total[w] += n
-            pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            total: dict[str, int] = {}
+            for space, pieces in (("", lead), (" ", rest)):
+                for p, n in pieces.items():
+                    if len(p) <= 64:
+                        for w in cut_piece(space + p, pretokens):
+                            total[w] = total.get(w, 0) + n
+                pieces.clear()
+            seen = [(w, n) for w, n in total.items() if n > 1]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 for line in (text or "").split("\n"):
-                    first, *rest = line.split(" ")
-                    pieces[first] += 1
-                    pieces.update([" " + p for p in rest if len(p) <= 64])
-                if len(pieces) >= MEMORY:
+                    pieces = line.split(" ")
+                    lead[pieces[0]] += 1
+                    rest.update(pieces[1:])
+                if len(rest) + len(lead) >= MEMORY:
                     yield words()
         yield words()
 
-    counted = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.filter("length(word) > 0").orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in best.collect()]
+    counted = cut(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("length(word) > 0"))
+    level = F.least(F.col("n"), F.lit(1 << 16))
+    held, cutoff = 0, 1 << 62
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held += r["count"]
+        if held > size:
+            break
+        cutoff = r.level
+    return sorted(r.word for r in counted.filter(F.col("n") >= cutoff).select("word").collect())
 
 
-def build_lexicon(docs: DataFrame, spec: bytes, size: int = 1 << 16) -> bytes:
+def build_lexicon(docs: DataFrame, spec: bytes, size: int = 1 << 18) -> bytes:
     merges = Merges(spec)
     return compile_lexicon({w.encode("utf-8"): merges.word(w.encode("utf-8")) for w in frequent_words(docs, size)})
 
@@ -328,14 +365,14 @@ def read_spec(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = 1 << 16, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs (doc_id, text); with_ids adds ids binary and decoded string."""
     spec = read_spec(tokenizer)
     sent = docs.sparkSession.sparkContext.broadcast((spec, build_lexicon(docs, spec, lexicon_words)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        codec = Codec(*sent.value)
+        codec = codec_of(sent, lambda v: Codec(*v))
         for b in batches:
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for x in b.column(1):

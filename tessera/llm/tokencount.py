@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Codec, read_spec
+from .bpe import Codec, codec_of, read_spec
 
 RULES = ("first", "last", "most")
 
@@ -102,7 +102,7 @@ def count_sections(docs: DataFrame, tokenizer: str, rule: str = "most", sections
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        codec = Codec(sent.value)
+        codec = codec_of(sent, Codec)
         for b in batches:
             rows = []
             for x in b.column(1):
@@ -127,7 +127,7 @@ def count_fields(rows: DataFrame, id_column: str, fields: list[str], tokenizer:
     kind = rows.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        codec = Codec(sent.value)
+        codec = codec_of(sent, Codec)
         for b in batches:
             out = []
             for values in zip(*(b.column(i + 1).to_pylist() for i in range(len(fields))), strict=True):
