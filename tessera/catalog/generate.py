@@ -257,7 +257,7 @@ def _email_sql() -> str:
     names = _sql("supplier", "s_suppkey", "name", 3, f"{o.texts(GIVEN)}[{o.modulo(1, len(GIVEN))} + 1] AS f, {o.texts(SURNAMES)}[{o.modulo(2, len(SURNAMES))} + 1] AS l")
     plain = lambda c: f"regexp_replace({o.fold(c)}, '[^0-9a-z]', '', 'g')"
     local = f"concat({plain('f')}, '.', {plain('l')})"
-    hosts = "['example.com', 'example.org', 'example.net']"
+    hosts = "['example.com', 'example.net', 'example.org']"
     drawn_ = _sql("supplier", "s_suppkey", "email", 3, "d")
     with_names = f"concat({local}, '.', {o.modulo(2, 9999)} + 1, '@', {hosts}[{o.modulo(1, 3)} + 1])"
     without = f"concat('kullanici', lpad({o.modulo(1, 10000)}::VARCHAR, 4, '0'), '.', {o.modulo(3, 9999)} + 1, '@', {hosts}[{o.modulo(2, 3)} + 1])"

@@ -18,7 +18,7 @@ POLICIES = ("safe", "validator")
 CHECKSUMMED = ("TCKN", "VKN", "IBAN", "PAN")
 ALL = (*CHECKSUMMED, "PHONE", "EMAIL")
 # Names reserved for documentation, and a bank code that no bank holds.
-RESERVED_HOSTS = ("example.com", "example.org", "example.net")
+RESERVED_HOSTS = ("example.com", "example.net", "example.org")
 RESERVED_SUFFIX = ".example"
 BANK = "99999"
 

@@ -73,12 +73,13 @@ def csv_line(cells: list[Column]) -> Column:
 
 def json_line(row: Column) -> Column:
     """A struct as compact JSON, nulls written, control characters with lower-case hexadecimal digits."""
-    text = F.to_json(row, {"ignoreNullFields": "false"})
-    for code in [*range(0x20), 0x7F]:
-        if code % 16 > 9 or code == 0x7F:
-            upper = f"\\u{code:04X}"
-            text = F.replace(text, F.lit(upper), F.lit(f"\\u{code:04x}" if code != 0x7F else "\x7f"))
-    return text
+    def lowered(t: Column) -> Column:
+        out = t
+        for code in (c for c in range(0x20) if c % 16 > 9):  # where the digit is a letter, and only behind a backslash that is not itself escaped
+            out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+        return F.when(t.rlike(r"\\u00[01][A-F]"), out).otherwise(t)
+
+    return F.transform(F.array(F.to_json(row, {"ignoreNullFields": "false"})), lowered)[0]
 
 
 def text_digest(c: Column) -> Column:
