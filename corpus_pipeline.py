@@ -13,27 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import bpe, langid, mixing, simhash
 from tessera.llm.common import ensure_checkpoint_dir, table
 from tessera.llm.queries import byte_bpe_path
+from tessera.session import reach_workers
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without a letter, or without a text, are rejected."""
+    reach_workers(spark)
     model = langid.fit(docs, modulus=4, held_out=2)
-    names = docs.columns
-    return langid.identify(docs, model).filter("lang_pred <> 'und'").select(*names)
+    labelled = langid.identify(docs, model, names=("__lang", "__score", "__spans"))
+    return labelled.filter("__lang <> 'und'").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    reach_workers(spark)
     return simhash.keep_first(docs, distance=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: a row for each copy."""
+    reach_workers(spark)
     return mixing.apply_mix(docs, weights=(1.0, 2.0, 3.0), max_repeat=3)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each row's ids and decoded text."""
+    reach_workers(spark)
     return bpe.encode_documents(docs, byte_bpe_path())
 
 

@@ -32,16 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .worker import held, tidy
 
 #: How byte-level BPE cuts a text before merging: a fixed value of this tokenizer family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of which all Unicode versions in use agree whether they are letters, numbers or spaces. A text with any
 #: other is pre-tokenized by the tokenizers library itself.
-_SETTLED = re.compile("[^\x00-՗ -⁯₠-₿←-⇿　-〩ぁ-ゖァ-ヺ一-龥가-힣！-～]")
+_SETTLED = re.compile("[^\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u2190-\u21ff\u3000-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]")
 #: White space as \s in PRETOKEN means it.
-_ADJACENT = re.compile("[\t-\r \x85\xa0  -     　]{2}")
+_ADJACENT = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}")
 #: Pieces that a worker remembers in a generation.
-MEMORY = 300_000
+MEMORY = 150_000
 _NO_PAIR = 1 << 62
 
 
@@ -220,7 +221,7 @@ class Codec:
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.pretokens = regex.compile(PRETOKEN).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
-        self.plain, self.spaced, self.words = _Memory(self._piece), _Memory(lambda x: self._piece(" " + x)), _Memory(self._word)
+        self.plain, self.spaced, self.words = _Memory(self._piece), _Memory(lambda x: self._piece(" " + x)), _Memory(self._word, MEMORY // 2)
         self.newline = self._piece("\n")
         self._spec, self._library = spec, None
 
@@ -279,23 +280,17 @@ def cut_piece(piece: str, pretokens) -> list[str]:
     return pretokens(piece)
 
 
-_CODECS: dict[str, object] = {}
-
-
 def codec_of(sent, make) -> Codec:
     """This worker's codec for a broadcast: what it remembers serves all tasks that the worker runs."""
-    if sent.value is not _CODECS.get("value"):
-        _CODECS.clear()
-        _CODECS.update(value=sent.value, codec=make(sent.value))
-    return _CODECS["codec"]
+    return held("codec", sent.value, lambda: make(sent.value))
 
 
 class _Memory(dict):
     """Results by argument, of two generations: when the young one is full it replaces the old one, and what is used again moves over."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int = MEMORY):
         super().__init__()
-        self.make, self.old, self.chars = make, {}, 0
+        self.make, self.size, self.old, self.chars = make, size, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -303,7 +298,7 @@ class _Memory(dict):
             value = self.make(key)
         if len(key) <= 200:
             self.chars += len(key)
-            if len(self) >= MEMORY or self.chars > 16_000_000:
+            if len(self) >= self.size or self.chars > 8_000_000:
                 self.old = dict(self)
                 self.clear()
                 self.chars = 0
@@ -335,8 +330,8 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())], ["word", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for line in (text or "").split("\n"):
+            for text in b.column(0):
+                for line in (text.as_py() or "").split("\n"):
                     pieces = line.split(" ")
                     lead[pieces[0]] += 1
                     rest.update(pieces[1:])
@@ -344,7 +339,7 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
                     yield words()
         yield words()
 
-    counted = cut(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("length(word) > 0"))
+    counted = cut(docs.select("text").mapInArrow(tidy(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("length(word) > 0"))
     level = F.least(F.col("n"), F.lit(1 << 16))
     held, cutoff = 0, 1 << 62
     for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -391,4 +386,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = 1 <<
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)

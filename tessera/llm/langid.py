@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from .common import id_remainder
+from .worker import held, tidy
 
 #: First and last code points of the letters of scripts: fixed values of the Unicode standard.
 SCRIPTS = [
@@ -145,7 +146,7 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 #: Pieces that a worker remembers before it starts afresh, and characters of text that it labels at a time.
-MEMORY, CHUNK = 400_000, 4_000_000
+MEMORY, CHUNK = 200_000, 2_000_000
 
 
 class Labeler:
@@ -233,14 +234,9 @@ class Labeler:
         return out
 
 
-_LABELERS: dict[str, object] = {}
-
-
 def labeler_of(sent, penalty: float) -> Labeler:
     """This worker's labeler for a broadcast model: what it remembers serves all tasks that the worker runs."""
-    if _LABELERS.get("model") is not sent.value or _LABELERS.get("penalty") != penalty:
-        _LABELERS.update(model=sent.value, penalty=penalty, labeler=Labeler(sent.value, penalty))
-    return _LABELERS["labeler"]
+    return held(f"labeler {penalty}", sent.value, lambda: Labeler(sent.value, penalty))
 
 
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 3000, alpha: float = 0.3) -> Model:
@@ -273,7 +269,7 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 30
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "bucket", "script", "n"])
 
-    counted = known.filter(draw < share).select("lang", "text").mapInArrow(count, "lang string, bucket int, script string, n bigint").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
+    counted = known.filter(draw < share).select("lang", "text").mapInArrow(tidy(count), "lang string, bucket int, script string, n bigint").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counted["lang"])) or []
     number = {name: i for i, name in enumerate(langs)}
     grams = counted[counted.bucket >= 0]
@@ -309,4 +305,4 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
     schema = StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType())
     if spans:
         schema.add(names[2], ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("lang", StringType())))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

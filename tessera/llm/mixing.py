@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repea
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``."""
-    names = docs.columns
-    mixed = mix(docs, payload=True, **options).filter(F.col("copies") > 0)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``, whatever their names."""
+    row = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    mixed = mix(row, payload=True, **options).filter(F.col("copies") > 0)
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

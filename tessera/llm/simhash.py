@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, WORD_PATTERN, cut, partitions_of
 from .graph import components
+from .worker import tidy
 
 SHINGLE = 3
 #: Popcount of a byte's four 2-bit segments, two bits each: 0, 1 or 2.
@@ -82,7 +83,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, fp bigint")
 
 
 def segment_counts(fps: np.ndarray) -> np.ndarray:
@@ -193,9 +194,9 @@ def links(classes: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:
             held_cells, held_fps = held_cells[end:], held_fps[end:]
         yield from out(held_cells, held_fps)
 
-    cells = classes.select("fp").mapInArrow(spread, "cell bigint, fp bigint")
+    cells = classes.select("fp").mapInArrow(tidy(spread), "cell bigint, fp bigint")
     dealt = cells.repartition(partitions_of(classes.sparkSession), "cell").sortWithinPartitions("cell", "fp")
-    return dealt.mapInArrow(meet, "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(meet), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Codec, codec_of, read_spec
+from .worker import tidy
 
 RULES = ("first", "last", "most")
 
@@ -116,7 +117,7 @@ def count_sections(docs: DataFrame, tokenizer: str, rule: str = "most", sections
                 ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_sections bigint, n_crossing bigint, section_tokens array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint, n_sections bigint, n_crossing bigint, section_tokens array<bigint>")
 
 
 def count_fields(rows: DataFrame, id_column: str, fields: list[str], tokenizer: str, joint: str = "\n", rule: str = "most") -> DataFrame:
@@ -140,6 +141,6 @@ def count_fields(rows: DataFrame, id_column: str, fields: list[str], tokenizer:
                 ["id", "n_tokens", "n_crossing", "each"],
             )
 
-    found = rows.select(id_column, *[F.col(f).cast("string") for f in fields]).mapInArrow(run, f"id {kind}, n_tokens bigint, n_crossing bigint, each array<bigint>")
+    found = rows.select(id_column, *[F.col(f).cast("string") for f in fields]).mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, n_crossing bigint, each array<bigint>")
     tokens = F.struct(*[F.element_at("each", i + 1).alias(f) for i, f in enumerate(fields)])
     return found.select(F.col("id").alias(id_column), "n_tokens", "n_crossing", tokens.alias("tokens"))
