@@ -42,8 +42,10 @@ _SETTLED = re.compile("[^\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u2190-\u21ff\u300
 #: White space as \s in PRETOKEN means it.
 _ADJACENT = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}")
 #: Pieces that a worker remembers in a generation.
-MEMORY = 150_000
+MEMORY = 350_000
 _NO_PAIR = 1 << 62
+#: Marks that are pre-tokens of their own behind letters.
+_STOPS = frozenset(".,;:!?")
 
 
 def byte_letters() -> dict[str, int]:
@@ -181,12 +183,10 @@ class Lexicon:
     """A compiled lexicon in a memory-mapped file."""
 
     def __init__(self, blob: bytes):
-        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}.bin")
-        if not os.path.exists(name):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(blob)
-            os.replace(f.name, name)
-        with open(name, "rb") as f:
+        # The file loses its name at once: the mapping keeps it, and nothing is left behind on the executor.
+        with tempfile.TemporaryFile() as f:
+            f.write(blob)
+            f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         sizes, at, views = struct.unpack_from("<7I", self.map), 28, []
         for n in sizes:
@@ -221,7 +221,8 @@ class Codec:
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.pretokens = regex.compile(PRETOKEN).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
-        self.plain, self.spaced, self.words = _Memory(self._piece), _Memory(lambda x: self._piece(" " + x)), _Memory(self._word, MEMORY // 2)
+        # Pieces between white space, as they stand at the start of a line and behind a space; and words of other texts.
+        self.plain, self.spaced, self.words = _Memory(self._at_start), _Memory(self._behind_space), _Memory(self._word, MEMORY // 10)
         self.newline = self._piece("\n")
         self._spec, self._library = spec, None
 
@@ -232,7 +233,17 @@ class Codec:
         return array("I", self.merges.word(raw)).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.words[w] for w in cut_piece(piece, self.pretokens)])
+        return b"".join([self.words[w] for w in self.pretokens(piece)])
+
+    def _at_start(self, piece: str) -> bytes:
+        return self._word(piece) if piece.isalpha() else self._piece(piece)
+
+    def _behind_space(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if piece[-1:] in _STOPS and piece[:-1].isalpha():
+            return self.spaced[piece[:-1]] + self.plain[piece[-1]]
+        return self._piece(" " + piece)
 
     def _cut_by_library(self, text: str) -> list[str]:
         if self._library is None:
@@ -275,7 +286,7 @@ def cut_piece(piece: str, pretokens) -> list[str]:
     bare = piece[1:] if piece[:1] == " " else piece
     if bare.isalpha():
         return [piece]
-    if bare[:-1].isalpha() and bare[-1] in ".,;:!?":
+    if bare[:-1].isalpha() and bare[-1] in _STOPS:
         return [piece[:-1], piece[-1]]
     return pretokens(piece)
 
@@ -372,10 +383,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = 1 <<
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for x in b.column(1):
                 ids = codec.encode(x.as_py())
-                text = codec.decode(ids)
+                raw = b"".join(codec.token_bytes(ids))
+                text = raw.decode("utf-8", "replace")
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
+                text_sha.append(hashlib.sha256(text.encode("utf-8") if "\ufffd" in text else raw).hexdigest())
                 if with_ids:
                     all_ids.append(ids)
                     all_text.append(text)
