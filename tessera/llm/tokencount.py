@@ -71,13 +71,13 @@ def char_spans(codec: Codec, text: str) -> list[tuple[int, int]]:
     ends = token_ends(codec, text)
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     of_byte = np.cumsum((raw & 0xC0) != 0x80) - 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends]).astype(np.int64)[: len(ends)]
     return list(zip(of_byte[starts].tolist(), (of_byte[ends - 1] + 1).tolist(), strict=True)) if len(ends) else []
 
 
 def attribute(ends: np.ndarray, sections: np.ndarray, rule: str = "most") -> tuple[np.ndarray, np.ndarray]:
     """For each token its section, and whether it crosses a boundary. Both arguments are ascending ends from 0, in bytes."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends]).astype(np.int64)[: len(ends)]
     first = np.searchsorted(sections, starts, side="right")
     last = np.searchsorted(sections, ends - 1, side="right")
     crosses = first != last
