@@ -3,7 +3,8 @@
 A page is cut into tags and runs of text. Each word scores by its context (the nearest structural element with the cue of its
 class or id, and the nearest text element): twice the share of such words that is content on labelled pages, less one.
 Each tag scores below zero, the further the more often it stands outside content. One linear scan finds the
-contiguous region with the greatest sum; ties go to the earlier start and the longer region. Within that region, text in elements that are
+contiguous region with the greatest sum; ties go to the earlier start and the longer region. The region grows to the limits of the innermost
+structural element that holds it, unless that is the page's body. Within it, text in elements that are
 boilerplate by their tag or cue is left out, and what remains is joined block by block.
 
 Labelled pages are those that mark their content: exactly one ``article``, or else exactly one ``main``. Weights come from a hash
@@ -61,6 +62,7 @@ class Piece:
     leaf: str = ""
     boiler: bool = False
     content: bool = False
+    frames: tuple[int, ...] = ()  # the structural elements around it, outermost first, by number
 
 
 def _cue(attributes: str) -> str:
@@ -77,6 +79,8 @@ def pieces(page: str, marked: str = "") -> list[Piece]:
     """The page's tags and texts in order, with their contexts; what silent elements hold is passed over."""
     out: list[Piece] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, context, boilerplate, content
+    around: tuple[int, ...] = ()
+    opened = 0
     context, boiler, content, leaf, silent = "", False, False, "", ""
     for m in _TOKEN.finditer(page):
         slash, name, attributes = m[2], m[3], m[4]
@@ -92,7 +96,7 @@ def pieces(page: str, marked: str = "") -> list[Piece]:
                 continue
         if name is None:
             text = entities.unescape(raw) if "&" in raw else raw
-            out.append(Piece("", text, len(_WORD.findall(text)), context, leaf, boiler, content))
+            out.append(Piece("", text, len(_WORD.findall(text)), context, leaf, boiler, content, around))
             continue
         name, closing = name.lower(), bool(slash)
         if silent:
@@ -104,12 +108,13 @@ def pieces(page: str, marked: str = "") -> list[Piece]:
             if not closing and not attributes.rstrip().endswith("/"):
                 silent = name
             continue
-        out.append(Piece(name, "", 0, context, leaf, boiler, content))
+        out.append(Piece(name, "", 0, context, leaf, boiler, content, around))
         if name in FRAMES:
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
+                        around = around[:k]
                         break
                 _, context, boiler, content = stack[-1] if stack else ("", "", False, False)
             else:
@@ -118,6 +123,8 @@ def pieces(page: str, marked: str = "") -> list[Piece]:
                 own = name in BOILER_TAGS or bool(cue) or name == "header" and not in_article
                 boiler, content, context = boiler or own, content or name == marked, f"{name}.{cue}" if cue else name
                 stack.append((name, context, boiler, content))
+                # The page's own elements are no limit that a region could grow to.
+                around = (*around, 0 if name in ("html", "body") else (opened := opened + 1))
             leaf = ""
         elif name in BLOCKS or name == "a":
             leaf = "" if closing else "h" if name[0] == "h" and name[1:].isdigit() else name
@@ -163,11 +170,23 @@ def region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
+def grown(found: list[Piece], start: int, end: int) -> tuple[int, int]:
+    """The region with all that stands in the innermost element around it, if that is not the page itself: short first and last blocks, which score too little on their own."""
+    inside = [p.frames for p in found[start:end] if p.words]
+    if not inside:
+        return start, end
+    shared = [f[0] for f in zip(*inside, strict=False) if len(set(f)) == 1]
+    if not shared or not shared[-1]:
+        return start, end
+    held = [k for k, p in enumerate(found) if shared[-1] in p.frames]
+    return min(start, held[0]), max(end, held[-1] + 1)
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     found = pieces(page)
-    start, end = region([weights.score(p) for p in found])
+    start, end = grown(found, *region([weights.score(p) for p in found]))
     blocks, block = [], []
     for p in found[start:end]:
         if p.tag in BLOCKS:

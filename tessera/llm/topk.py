@@ -10,7 +10,7 @@ The result is exact: pivots and sample only decide what is skipped. Pivots come
 farthest-first traversal.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Rows with a null id take no part. Vectors of another
-dimension than the query's are no candidates. A row repeated under one id is a candidate each time, but never for a query of its own id. Ties go
+dimension than the query's are no candidates. Inner products that may not fit 64 bits are an error. A row repeated under one id is a candidate each time, but never for a query of its own id. Ties go
 to the smaller id. Empty table: empty result.
 """
 
@@ -55,6 +55,8 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     for kind, exact in ((np.float32, 1 << 24), (np.float64, 1 << 53)):
         if bound < exact:
             return (queries.astype(kind) @ vectors.astype(kind).T).astype(np.int64)
+    if bound >= 1 << 63:
+        raise OverflowError("an inner product may not fit 64 bits")
     return queries.astype(np.int64) @ vectors.astype(np.int64).T
 
 
