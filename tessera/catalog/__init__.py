@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reach_workers
-from . import audit, generate
+from . import audit, generate, packs
 
-MODULES = (generate, audit)
+MODULES = (generate, audit, packs)
 
 
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
