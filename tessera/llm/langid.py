@@ -69,6 +69,11 @@ def script_of(letter: str) -> str:
     return SCRIPTS[k][2] if k >= 0 and ord(letter) <= SCRIPTS[k][1] else "other"
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters; the pattern alone would take number signs such as fractions for letters."""
+    return [r for r in LETTERS.findall(text) if r.isalpha() or any(map(str.isalpha, r))]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of lower-cased runs of letters: (all features, in the order of the words; where each word's begin).
 
@@ -117,7 +122,7 @@ class Model:
         return np.where(known[:, None], np.where(mask, np.maximum(s, best - CLIP), best - CLIP) - best, 0.0)
 
     def known(self, piece: str) -> bool:
-        return any(script_of(r[0]) in self.scripts for r in LETTERS.findall(piece))
+        return any(script_of(r[0]) in self.scripts for r in letter_runs(piece))
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -163,7 +168,7 @@ class Labeler:
         if len(self.number) + len(new) > MEMORY:
             self.forget()
             new = pieces
-        found = [(p, r) for p in new if (r := [p] if p.isalpha() else LETTERS.findall(p))]
+        found = [(p, r) for p in new if (r := [p] if p.isalpha() else letter_runs(p))]
         self.number.update(dict.fromkeys(new, -1))
         if not found:
             return
@@ -256,7 +261,7 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 30
         words: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(letter_runs(text.lower()))
         out = []
         for lang, seen in words.items():
             counts, scripts = np.zeros(BUCKETS, np.int64), Counter()

@@ -19,7 +19,6 @@ the smallest doc_id that is not null. Repeated rows give repeated result rows. E
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD_PATTERN, cut, partitions_of
+from .common import LOWER, UPPER, cut, partitions_of
 from .graph import components
 from .worker import tidy
 
@@ -56,7 +55,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _majority(np.array(hashes, dtype=np.uint64))
 
 
-_SPLIT = re.compile(WORD_PATTERN.encode())
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
