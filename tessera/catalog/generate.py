@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import draws as dr
 from ..functions import identifiers as ids
 from ..functions import u64
-from ..functions.text import local_part
 from ..plans.streams import stream_prefix
 from . import oracle as o
 from .data import GIVEN, PLACES, SURNAMES, amounts_table
