@@ -11,7 +11,11 @@ import hashlib
 import json
 import os
 import shutil
+import signal
 import tempfile
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from decimal import Decimal
@@ -338,6 +342,23 @@ def taxonomy_pin() -> dict[str, str]:
     return {"name": "labels-tr", "version": "0.1", "pin_digest": hashlib.sha256(text.encode()).hexdigest()}
 
 
+@contextmanager
+def _terminable() -> Iterator[None]:
+    """A request to terminate raises, so that what is staged is removed; only the main thread may listen for it."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise SystemExit("terminated")
+
+    before = signal.signal(signal.SIGTERM, stop)
+    try:
+        yield
+    finally:
+        signal.signal(signal.SIGTERM, before)
+
+
 def mint(
     spark: SparkSession,
     *,
@@ -365,10 +386,11 @@ def mint(
     target.parent.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=f".{target.name}-", dir=target.parent))
     try:
-        manifest = _fill(plan, stage, fmt, {"records": dict(sorted(records.items()))} if records else {}, invocation)
-        if target.exists():
-            raise MintError(f"{target} exists already")
-        os.rename(stage, target)
+        with _terminable():
+            manifest = _fill(plan, stage, fmt, {"records": dict(sorted(records.items()))} if records else {}, invocation)
+            if target.exists():
+                raise MintError(f"{target} exists already")
+            os.rename(stage, target)
     except BaseException:
         shutil.rmtree(stage, ignore_errors=True)
         raise

@@ -198,6 +198,14 @@ def test_pack_rules(tmp_path, rule):
     assert e.value.rule == rule
 
 
+def test_library_entry_points(spark, tmp_path):
+    from tessera import api
+
+    m1 = api.mint(pack="sample", recipe="demo", seed=3, out=tmp_path / "o", fmt="csv", records={"member": 20, "payment": 20}, spark=spark)
+    assert m1["recipe"]["parameters"]["overrides"] == {"records": {"member": 20, "payment": 20}}
+    assert api.verify(tmp_path / "o", trusted_manifest_sha256="0" * 64, spark=spark).problems == ["DATASET.json: not the manifest that is trusted"]
+
+
 def test_command_line(spark, dataset, tmp_path, capsys):
     assert main(["mint", "--pack", "sample", "--recipe", "demo", "--seed", "1", "--out", str(tmp_path / "x"), "--records", "payment=0", "--json"], spark) == DONE
     assert json.loads(capsys.readouterr().out)["stats"]["record_counts"]["payment"] == 0
