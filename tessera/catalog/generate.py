@@ -224,31 +224,44 @@ def _sql(table: str, key: str, field: str, k: int, columns: str, kind: str | Non
     return f"WITH {o.draws(source(table, key, s), prefix, k)} SELECT id AS {key}, {columns} FROM d"
 
 
+def identifier_sql(safe: bool) -> dict[str, tuple[str, int, str]]:
+    """For each family with a checksum: its name, the outputs it takes, and the identifier from the list d of outputs."""
+    d = [f"({o.modulo(1, 9)} + 1)", *o.digits(2, 8)]
+    tenth, eleventh = o.tckn_rules(d)
+    if safe:
+        eleventh = f"(({eleventh} + {o.modulo(10, 9)} + 1) % 10)"
+    made = {"tckn": ("TCKN", 10, o.joined([*d, tenth, eleventh]))}
+    d = o.digits(1, 9)
+    check = o.vkn_rule(d)
+    made["vkn"] = ("VKN", 10, o.joined([*d, f"(({check} + {o.modulo(10, 9)} + 1) % 10)" if safe else check]))
+    body = o.joined(["'999990'", *o.digits(1, 16)])
+    check = f"(98 - concat({body}, '292700')::HUGEINT % 97)"
+    if safe:
+        check = f"(({check} - 2 + {o.modulo(17, 96)} + 1) % 97 + 2)"
+    made["iban"] = ("IBAN", 17, f"concat('TR', lpad({check}::VARCHAR, 2, '0'), {body})")
+    d = ["9", *o.digits(1, 14)]
+    check = o.luhn_rule(d)
+    made["pan_masked"] = ("PAN", 15, o.joined([*d, f"(({check} + {o.modulo(15, 9)} + 1) % 10)" if safe else check]))
+    return made
+
+
+def masked_sql(c: str) -> str:
+    return f"concat(substr({c}, 1, 6), '******', substr({c}, 13, 4))"
+
+
+def phone_sql() -> str:
+    d = o.digits(1, 9)
+    return o.joined(["'+90 5'", *d[:2], "' '", *d[2:5], "' '", *d[5:7], "' '", *d[7:]])
+
+
 def _family_sql() -> dict[str, str]:
     out = {}
     for policy, suffix in (("safe", ""), ("validator", "_validator")):
-        safe = policy == "safe"
-        d = [f"({o.modulo(1, 9)} + 1)", *o.digits(2, 8)]
-        tenth, eleventh = o.tckn_rules(d)
-        if safe:
-            eleventh = f"(({eleventh} + {o.modulo(10, 9)} + 1) % 10)"
-        made = {"tckn": ("TCKN", 10, o.joined([*d, tenth, eleventh]), lambda c: c)}
-        d = o.digits(1, 9)
-        check = o.vkn_rule(d)
-        made["vkn"] = ("VKN", 10, o.joined([*d, f"(({check} + {o.modulo(10, 9)} + 1) % 10)" if safe else check]), lambda c: c)
-        body = o.joined(["'999990'", *o.digits(1, 16)])
-        check = f"(98 - concat({body}, '292700')::HUGEINT % 97)"
-        if safe:
-            check = f"(({check} - 2 + {o.modulo(17, 96)} + 1) % 97 + 2)"
-        made["iban"] = ("IBAN", 17, f"concat('TR', lpad({check}::VARCHAR, 2, '0'), {body})", lambda c: c)
-        d = ["9", *o.digits(1, 14)]
-        check = o.luhn_rule(d)
-        made["pan_masked"] = ("PAN", 15, o.joined([*d, f"(({check} + {o.modulo(15, 9)} + 1) % 10)" if safe else check]), lambda c: f"concat(substr({c}, 1, 6), '******', substr({c}, 13, 4))")
-        for name, (kind, k, value, shown) in made.items():
+        for name, (kind, k, value) in identifier_sql(policy == "safe").items():
             inner = _sql("customer", "c_custkey", kind, k, f"{value} AS identifier")
-            out[f"gen_{name}{suffix}"] = f"SELECT c_custkey, {shown('identifier')} AS identifier, {o.valid(kind, 'identifier')} AS valid FROM ({inner})"
-    d = o.digits(1, 9)
-    out["gen_phone"] = _sql("customer", "c_custkey", "PHONE", 9, o.joined(["'+90 5'", *d[:2], "' '", *d[2:5], "' '", *d[5:7], "' '", *d[7:]]) + " AS identifier")
+            shown = masked_sql("identifier") if kind == "PAN" else "identifier"
+            out[f"gen_{name}{suffix}"] = f"SELECT c_custkey, {shown} AS identifier, {o.valid(kind, 'identifier')} AS valid FROM ({inner})"
+    out["gen_phone"] = _sql("customer", "c_custkey", "PHONE", 9, f"{phone_sql()} AS identifier")
     return out
 
 

@@ -11,8 +11,12 @@ from ..functions.text import text_digest
 from ..plans import mint as m
 from ..plans import verify as v
 from ..plans.spec import load_pack
-from ..sources.library import HERE
-from .generate import read
+from ..plans.streams import stream_prefix
+from ..sources.library import HERE, Library
+from . import generate as g
+from . import oracle as o
+from .data import GIVEN, SURNAMES
+from .generate import START, read
 
 SAMPLE = HERE / "packs" / "sample"
 
@@ -83,8 +87,44 @@ def packcheck_report(spark, sf_dir):
     return spark.createDataFrame([(not problems, len(problems))], "ok boolean, problems int")
 
 
+def _members_sql() -> str:
+    """The member table of the sample pack, field by field, each from its own site."""
+    prefix = stream_prefix(42, "tessera-sample", "1.0.0", "demo")
+    rows = "(SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS i)"
+    one = lambda field, k, value: (field, g._sql(rows, "i", field, k, f"{value} AS {field}", kind="member", prefix=prefix))
+    low, high = (START - (65 * 365 + 16) * 86400, START - (18 * 365 + 4) * 86400)
+    knots = "[" + ", ".join(map(str, Library().table("balances"))) + "]::BIGINT[]"
+    at = f"{o.modulo(1, 1023)} + 1"
+    made = g.identifier_sql(safe=True)
+    plain = lambda c: f"regexp_replace({o.fold(c)}, '[^0-9a-z]', '', 'g')"
+    fields = [
+        one("first_name", 1, f"{o.texts(GIVEN)}[{o.modulo(1, len(GIVEN))} + 1]"),
+        one("last_name", 1, f"{o.texts(SURNAMES)}[{o.modulo(1, len(SURNAMES))} + 1]"),
+        one("national_id", 10, made["tckn"][2]),
+        one("card", 15, g.masked_sql(made["pan_masked"][2])),
+        one("email", 2, f"concat('.', {o.modulo(2, 9999)} + 1, '@', ['example.com', 'example.net', 'example.org'][{o.modulo(1, 3)} + 1])"),
+        one("phone", 9, g.phone_sql()),
+        one("birth_date", 1, g._local_day(f"({o.modulo(1, high - low)} + {low})")),
+        one("tier", 1, g._weighted_sql(o.modulo(1, 10), [7, 2, 1], ["'basic'", "'plus'", "'gold'"])),
+        one("balance", 2, f"({knots})[{at}] + ((({knots})[{at} + 1] - ({knots})[{at}]) * {o.modulo(2, 1 << 20)}) // {1 << 20}"),
+        one("score", 1, f"{o.modulo(1, 11)} - 5"),
+    ]
+    joined = " ".join(f"JOIN ({sql}) {name}_t USING (i)" for name, sql in fields)
+    columns = "first_name, last_name, national_id, card, concat({}, '.', {}, email) AS email, phone, birth_date, tier, balance, score".format(plain("first_name"), plain("last_name"))
+    return f"SELECT concat('MEM-', lpad(i::VARCHAR, 8, '0')) AS member_id, {columns} FROM {rows} {joined}"
+
+
+def _json_sql() -> str:
+    texts = ["member_id", "first_name", "last_name", "national_id", "card", "email", "phone", "birth_date", "tier"]
+    parts = ", ".join(f"'{',' if k else '{'}\"{c}\":\"', {c}, '\"'" for k, c in enumerate(texts))
+    return f"SELECT concat({parts}, ',\"balance\":', balance, ',\"score\":', score, '}}') AS line FROM ({_members_sql()})"
+
+
 QUERIES = {f.__name__: f for f in (plan_members, plan_payments, render_docs, render_spans, json_lines, csv_lines, sidecar_lines, verify_report, reproduce_report, packcheck_report)}
 ORACLE: dict[str, str] = {
+    "plan_members": _members_sql(),
+    "json_lines": _json_sql(),
+    "csv_lines": f"SELECT concat_ws(',', member_id, first_name, last_name, national_id, card, email, phone, birth_date, tier, balance, score) AS line FROM ({_members_sql()})",
     "reproduce_report": "SELECT true AS ok, 0::INT AS differing, 0::INT AS drift",
     "packcheck_report": "SELECT true AS ok, 0::INT AS problems",
 }
