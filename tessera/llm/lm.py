@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ensure_checkpoint_dir, id_remainder
+from .worker import give_back, tidy
 
 #: Text bytes of a block: what a scoring task holds at a time, besides one longer text.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END, START = np.uint64(0x5AFE0E4D), np.uint64(0x5AFE57A7)
@@ -69,14 +71,16 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
     split = [words(t) for t in texts]
-    known = dict.fromkeys(w for ws in split for w in ws)
+    known: dict[bytes, int] = {}
+    for ws in split:
+        known.update(dict.fromkeys(ws))
     for w in known:
         known[w] = xxhash.xxh64_intdigest(w)
     lengths = np.array([len(ws) + 1 for ws in split], np.int64)
     out = np.full(int(lengths.sum()), END, np.uint64)
     at = np.ones(len(out), bool)
     at[np.cumsum(lengths) - 1] = False
-    out[at] = np.fromiter((known[w] for ws in split for w in ws), np.uint64, int(at.sum()))
+    out[at] = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, int(at.sum()))
     return out, lengths
 
 
@@ -300,6 +304,8 @@ def _score(filter_, total: int, known: int, alpha: float, id_type: pa.DataType):
                     }
                 )
             )
+        del tokens, distinct, number, of_distinct, counts, base, history, levels, seen, mixed, sums
+        give_back()
         return pa.concat_tables(out)
 
     return run
@@ -314,12 +320,12 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, alpha
     size = folded.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(min(4096, max(16, size // (16 << 20))))
 
-    packed = _write(folded.mapInArrow(_pack(parts), "kind string, block bigint, part int, n bigint, data binary, counts binary"), f"{folder}/blocks", "kind")
+    packed = _write(folded.mapInArrow(tidy(_pack(parts)), "kind string, block bigint, part int, n bigint, data binary, counts binary"), f"{folder}/blocks", "kind")
     summed = packed.filter("kind = 'tokens'").select("block", "part", "n", "data", "counts").groupBy("part").applyInArrow(_sum_tokens, "block bigint, part int, n bigint, counts binary, known bigint, total bigint")
     summed = _write(summed, f"{folder}/sums")
     known, total = summed.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
-    pairs = folded.filter(~F.col("held_out")).select("doc_id", "text").mapInArrow(_count_pairs(parts), "part int, n bigint, data binary, counts binary")
+    pairs = folded.filter(~F.col("held_out")).select("doc_id", "text").mapInArrow(tidy(_count_pairs(parts)), "part int, n bigint, data binary, counts binary")
     made = _write(pairs.groupBy("part").applyInArrow(_make_segments, "part int, cutoff bigint, bits bigint, data binary, above bigint, total bigint"), f"{folder}/segments", "cutoff")
     sizes = made.groupBy("cutoff").agg(F.sum("bits").alias("bits"), F.sum("above").alias("above"), F.sum("total").alias("total")).orderBy("cutoff").collect()
     fit = next((r for r in sizes if r.bits <= 8 * max_bytes), None)
