@@ -159,7 +159,7 @@ def _family(name: str, policy: str) -> Query:
         df = read(spark, sf_dir, "customer").select("c_custkey")
         if name in ("PHONE",):
             return drawn(spark, df, ["c_custkey"], at, plan, lambda d: {"identifier": value(d)})
-        made = drawn(spark, df, ["c_custkey"], at, plan, lambda d: {"identifier": value(d)})
+        made = drawn(spark, df, ["c_custkey"], at, plan, lambda d: {"identifier": F.explode(F.array(value(d)))})
         return made.select("c_custkey", shown(F.col("identifier")).alias("identifier"), ids.FAMILIES[name].valid(F.col("identifier")).alias("valid"))
 
     return run

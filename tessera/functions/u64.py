@@ -146,4 +146,6 @@ def with_draws(df: DataFrame, draws: dict[str, tuple[str, list[int]]]) -> DataFr
             else:
                 items.append(F.lit(0).cast("bigint"))
         cooked.append((F.array(*items) if items else F.array().cast("array<bigint>")).alias(name))
-    return held.select(*[F.col(c) for c in df.columns], *cooked)
+    # One row in, one row out: a filter above stays above, instead of pulling all draws into its condition.
+    names = [F.col(c) for c in df.columns]
+    return held.select(*names, F.explode(F.array(F.struct(*cooked))).alias("__draws")).select(*names, *[F.col(f"__draws.{n}").alias(n) for n in draws])
