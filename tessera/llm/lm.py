@@ -6,14 +6,13 @@ q = 1 + floor(log2 c), and probes for j = 1, 2, ... until one fails give q back.
 
     P(w | h) = lam * 2^(q-1) / c(h) + (1 - lam) * (c(w) + alpha) / (N + alpha * (V + 1)),
 
-where lam is the Good-Turing mass of the pairs in the filter: the share of training pairs whose count lies above the
-filter's cut-off. As 2^(q-1) never exceeds the true count, the sum over w stays at or below one but for false positives.
+where lam is the Good-Turing mass of the pairs in the filter, which are all of the training pairs: the share of those
+seen more than once. As 2^(q-1) never exceeds the true count, the sum over w stays at or below one but for false positives.
 
 Nothing that grows with the corpus meets in one task or at the driver. Texts are packed into blocks as they are read; a block sends its
 distinct tokens, cut by ranges of their 64-bit hash, as packed arrays; each range is summed in one place and the sums
-go back to the blocks. Pairs are summed by hash range in the same way, and each range makes its segment of the filter, for
-a series of cut-offs. The driver takes the smallest cut-off whose filter stays within ``max_bytes`` - at least one does, as
-no more than N / c pairs can occur c times - so what is broadcast has a fixed bound.
+go back to the blocks. Pairs go the same way: each range sums its pairs, makes its segment of the filter, asks it for the
+pairs of every block and sends their levels back. The filter is never whole in one place, so no pair has to be left out.
 
 Nulls: a null text is the empty one: just an end. A null doc_id counts as the empty id in the fold rule. Without training documents
 all counts are 0 and every token has the base probability of an unseen one. Empty table: empty result. Repeated rows count and are scored each time.
@@ -39,8 +38,8 @@ _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END, START = np.uint64(0x5AFE0E4D), np.uint64(0x5AFE57A7)
 PAIR_BITS = 48
-#: Cut-offs for which filters are made; a filter keeps pairs seen so often.
-CUTOFFS = (2, 3, 5, 9, 17, 33, 129, 1025, 1 << 14, 1 << 20, 1 << 30)
+#: The filter keeps pairs seen so often: all, at any size of the corpus.
+CUTOFF = 1
 
 
 def words(text: str) -> list[bytes]:
@@ -174,13 +173,19 @@ def _sum_tokens(table: pa.Table) -> pa.Table:
     )
 
 
-def _count_pairs(parts: int):
+def _block_pairs(parts: int):
     def run(batches):
-        for table in _batches_of(batches, 2 * BLOCK_BYTES):
-            distinct, n = np.unique(pair_hashes(*token_hashes(_texts(table))), return_counts=True)
-            rows = [(part, s.stop - s.start, _squeeze(distinct[s]), _squeeze_counts(n[s])) for part, s in _pair_ranges(distinct, parts)]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "n", "data", "counts"])
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                table = pa.ipc.open_stream(data.as_buffer()).read_all()
+                tokens, lengths = token_hashes(_texts(table))
+                learn = np.repeat(~np.array(table.column(2).to_pylist(), bool), lengths)
+                distinct, number = np.unique(pair_hashes(tokens, lengths), return_inverse=True)
+                n = np.bincount(number[learn], minlength=len(distinct))
+                rows = [(block, part, s.stop - s.start, _squeeze(distinct[s]), _squeeze_counts(n[s])) for part, s in _pair_ranges(distinct, parts)]
+                del table, tokens, learn, distinct, number, n
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "n", "data", "counts"])
 
     return run
 
@@ -191,7 +196,7 @@ class LogBloom:
     PROBES = 4
     BITS_PER_ITEM = 6
 
-    def __init__(self, parts: int, segments: dict[int, tuple[int, bytes]], mass: float, cutoff: int):
+    def __init__(self, parts: int, segments: dict[int, tuple[int, bytes]], mass: float = 0.0, cutoff: int = CUTOFF):
         self.parts, self.mass, self.cutoff = parts, mass, cutoff
         self.bits = np.ones(parts, np.uint64)
         self.offset = np.zeros(parts, np.int64)
@@ -255,40 +260,61 @@ def _pair_ranges(pairs: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
             yield k, slice(int(edges[k]), int(edges[k + 1]))
 
 
-def _make_segments(table: pa.Table) -> pa.Table:
-    sizes = table.column("n").to_pylist()
-    values = np.concatenate([_unsqueeze(d, n) for d, n in zip(table.column("data").to_pylist(), sizes, strict=True)])
-    counts = np.concatenate([_unsqueeze_counts(d, n) for d, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
-    distinct, number = np.unique(values, return_inverse=True)
-    sums = np.bincount(number, weights=counts.astype(np.float64), minlength=len(distinct)).astype(np.uint64)
-    rows = []
-    for cutoff in CUTOFFS:
-        kept = sums >= cutoff
-        bits, blob = LogBloom.segment(distinct[kept], sums[kept]) if kept.any() else (0, b"")
-        rows.append((table.column("part")[0].as_py(), cutoff, bits, blob, int(sums[sums > cutoff].sum()), int(sums.sum())))
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "cutoff", "bits", "data", "above", "total"])
+def _pair_levels(parts: int):
+    """One hash range: its segment of the filter, and what that says of every block's pairs, in the block's order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        values = np.concatenate([_unsqueeze(d, n) for d, n in zip(table.column("data").to_pylist(), sizes, strict=True)])
+        counts = np.concatenate([_unsqueeze_counts(d, n) for d, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
+        distinct, number = np.unique(values, return_inverse=True)
+        sums = np.bincount(number, weights=counts.astype(np.float64), minlength=len(distinct)).astype(np.uint64)
+        del values, counts
+        kept = sums >= CUTOFF
+        segments = {table.column("part")[0].as_py(): LogBloom.segment(distinct[kept], sums[kept])} if kept.any() else {}
+        levels = LogBloom(parts, segments).levels(distinct)
+        back = np.split(levels[number].astype(np.uint64), np.cumsum(sizes)[:-1])
+        first = [1] + [0] * (len(sizes) - 1)
+        made = pa.table(
+            {
+                "block": table.column("block"),
+                "part": table.column("part"),
+                "n": table.column("n"),
+                "counts": pa.array([_squeeze_counts(x) for x in back], pa.binary()),
+                "above": pa.array([int(sums[sums > CUTOFF].sum()) * f for f in first], pa.int64()),
+                "total": pa.array([int(sums.sum()) * f for f in first], pa.int64()),
+            }
+        )
+        del distinct, number, sums, kept, segments, levels, back
+        give_back()
+        return made
 
+    return run
+
+
+def _of_kind(right: pa.Table, kind: str) -> np.ndarray:
+    """What the hash ranges sent back for a block's distinct tokens or pairs, in ascending order of these."""
+    back = sorted((r for r in right.select(["kind", "part", "n", "counts"]).to_pylist() if r["kind"] == kind), key=lambda r: r["part"])
+    return np.concatenate([_unsqueeze_counts(r["counts"], r["n"]) for r in back])
 
-def _score(filter_, total: int, known: int, alpha: float, id_type: pa.DataType):
+
+def _score(mass: float, total: int, known: int, alpha: float, id_type: pa.DataType):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             table = pa.ipc.open_stream(row["data"]).read_all()
             tokens, lengths = token_hashes(_texts(table))
-            distinct, number = np.unique(tokens, return_inverse=True)
-            back = sorted(right.select(["part", "n", "counts"]).to_pylist(), key=lambda r: r["part"])
-            of_distinct = np.concatenate([_unsqueeze_counts(r["counts"], r["n"]) for r in back]).astype(np.float64)
-            counts = of_distinct[number]
+            number = np.unique(tokens, return_inverse=True)[1]
+            counts = _of_kind(right, "tokens").astype(np.float64)[number]
             ends = np.cumsum(lengths) - 1
             base = (counts + alpha) / (total + alpha * (known + 1))
             history = np.empty_like(counts)
             history[1:] = counts[:-1]
             history[np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)] = counts[ends[0]]
-            bloom = filter_.value
-            levels = bloom.levels(pair_hashes(tokens, lengths))
+            number = np.unique(pair_hashes(tokens, lengths), return_inverse=True)[1]
+            levels = _of_kind(right, "pairs").astype(np.int64)[number]
             seen = np.where((levels > 0) & (history > 0), np.minimum(np.exp2(np.maximum(levels, 1) - 1.0), history) / np.maximum(history, 1.0), 0.0)
-            mixed = np.where(history > 0, bloom.mass * seen + (1 - bloom.mass) * base, base)
+            mixed = np.where(history > 0, mass * seen + (1 - mass) * base, base)
             starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
             sums = [np.add.reduceat(x, starts) for x in (np.log10(base), np.log10(mixed), (counts > 0).astype(np.int64))]
             out.append(
@@ -304,14 +330,14 @@ def _score(filter_, total: int, known: int, alpha: float, id_type: pa.DataType):
                     }
                 )
             )
-        del tokens, distinct, number, of_distinct, counts, base, history, levels, seen, mixed, sums
+        del tokens, number, counts, base, history, levels, seen, mixed, sums
         give_back()
         return pa.concat_tables(out)
 
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, alpha: float = 0.1, max_bytes: int = 96 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, alpha: float = 0.1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -325,17 +351,16 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, alpha
     summed = _write(summed, f"{folder}/sums")
     known, total = summed.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
-    pairs = folded.filter(~F.col("held_out")).select("doc_id", "text").mapInArrow(tidy(_count_pairs(parts)), "part int, n bigint, data binary, counts binary")
-    made = _write(pairs.groupBy("part").applyInArrow(_make_segments, "part int, cutoff bigint, bits bigint, data binary, above bigint, total bigint"), f"{folder}/segments", "cutoff")
-    sizes = made.groupBy("cutoff").agg(F.sum("bits").alias("bits"), F.sum("above").alias("above"), F.sum("total").alias("total")).orderBy("cutoff").collect()
-    fit = next((r for r in sizes if r.bits <= 8 * max_bytes), None)
-    segments = {r.part: (r.bits, bytes(r.data)) for r in made.filter(F.col("cutoff") == fit.cutoff).filter("bits > 0").select("part", "bits", "data").collect()} if fit else {}
-    bloom = LogBloom(parts, segments, fit.above / fit.total if fit and fit.total else 0.0, int(fit.cutoff) if fit else 0)
+    blocks = packed.filter("kind = 'docs'").select("block", "data")
+    pairs = blocks.mapInArrow(tidy(_block_pairs(parts)), "block bigint, part int, n bigint, data binary, counts binary")
+    levels = _write(pairs.groupBy("part").applyInArrow(_pair_levels(parts), "block bigint, part int, n bigint, counts binary, above bigint, total bigint"), f"{folder}/levels")
+    above, pair_total = levels.agg(F.coalesce(F.sum("above"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    mass = above / pair_total if pair_total else 0.0
 
-    sent = spark.sparkContext.broadcast(bloom)
-    blocks = packed.filter("kind = 'docs'").select("block", "data").groupBy("block")
+    back = [df.select("block", F.lit(kind).alias("kind"), "part", "n", "counts") for kind, df in (("tokens", summed), ("pairs", levels))]
+    back = back[0].unionByName(back[1]).groupBy("block")
     kind = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.cogroup(summed.select("block", "part", "n", "counts").groupBy("block")).applyInArrow(_score(sent, int(total), int(known), alpha, to_arrow_type(kind)), schema)
+    return blocks.groupBy("block").cogroup(back).applyInArrow(_score(mass, int(total), int(known), alpha, to_arrow_type(kind)), schema)

@@ -248,6 +248,29 @@ def test_language_model(docs, corpus):
     assert some and all(r.score > r.base_score for r in some)
 
 
+def exact_scores(corpus, modulus=10, alpha=0.1):
+    """(doc_id, tokens, score) of every row by exact counts of all training pairs, each taken down to a power of two."""
+    tokens = [WORD.findall(lower(t or "")) + ["\0"] for _, t, _, _ in corpus]
+    train = [ws for (i, _, _, _), ws in zip(corpus, tokens, strict=True) if zlib.crc32(str(i if i is not None else "").encode()) % modulus]
+    single, pairs = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip(["\1", *ws], ws))  # noqa: B905
+    n, v, single["\1"] = sum(single.values()), len(single), len(train)
+    lam = sum(c for c in pairs.values() if c > 1) / sum(pairs.values())
+    for (i, _, _, _), ws in zip(corpus, tokens, strict=True):
+        score = 0.0
+        for h, w in zip(["\1", *ws], ws):  # noqa: B905
+            base = (single[w] + alpha) / (n + alpha * (v + 1))
+            seen = 2 ** (pairs[h, w].bit_length() - 1) / single[h] if pairs[h, w] else 0.0
+            score += math.log10(lam * seen + (1 - lam) * base if single[h] else base)
+        yield i, len(ws), score
+
+
+def test_language_model_keeps_every_pair(docs, corpus):
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_documents(docs).collect())
+    want = sorted((str(i), n, x) for i, n, x in exact_scores(corpus))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2] >= w[2] - 1e-9 * w[1] for g, w in zip(got, want, strict=True))
+
+
 def test_bloom_levels_never_fall_short():
     rng = np.random.default_rng(7)
     pairs = np.unique(rng.integers(0, 1 << lm.PAIR_BITS, 3000, dtype=np.uint64))
