@@ -7,7 +7,8 @@ q = 1 + floor(log2 c), and probes for j = 1, 2, ... until one fails give q back.
     P(w | h) = lam * 2^(q-1) / c(h) + (1 - lam) * (c(w) + alpha) / (N + alpha * (V + 1)),
 
 where lam is the Good-Turing mass of the pairs in the filter, which are all of the training pairs: the share of those
-seen more than once. As 2^(q-1) never exceeds the true count, the sum over w stays at or below one but for false positives.
+seen more than once. As 2^(q-1) never exceeds the true count, the sum over w stays at or below one but for false
+positives, of which there is one in ten million; 2^(q-1) is held to c(h) and c(w), so a token that was not learned has none.
 
 Nothing that grows with the corpus meets in one task or at the driver. Texts are packed into blocks as they are read; a block sends its
 distinct tokens, cut by ranges of their 64-bit hash, as packed arrays; each range is summed in one place and the sums
@@ -193,8 +194,11 @@ def _block_pairs(parts: int):
 class LogBloom:
     """Segments of a log-frequency Bloom filter, one for each hash range."""
 
-    PROBES = 4
-    BITS_PER_ITEM = 6
+    #: An item that was never entered passes with probability (1 - e^(-12/40))^12 = 1e-7. A segment lives in one task only, so bits are cheap.
+    PROBES = 12
+    BITS_PER_ITEM = 40
+    #: In a segment of few bits the places of different items meet more often than that.
+    LEAST_BITS = 1 << 20
 
     def __init__(self, parts: int, segments: dict[int, tuple[int, bytes]], mass: float = 0.0, cutoff: int = CUTOFF):
         self.parts, self.mass, self.cutoff = parts, mass, cutoff
@@ -225,7 +229,7 @@ class LogBloom:
     @classmethod
     def segment(cls, pairs: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
         levels = cls.level(counts)
-        bits = max(64, int(levels.sum()) * cls.BITS_PER_ITEM)
+        bits = max(cls.LEAST_BITS, int(levels.sum()) * cls.BITS_PER_ITEM)
         bits += -bits % 8
         field = np.zeros(bits, bool)
         for j in range(1, int(levels.max(initial=0)) + 1):
@@ -239,11 +243,11 @@ class LogBloom:
         out = np.zeros(len(pairs), np.int64)
         alive = np.flatnonzero(self.filled[part])
         for j in range(1, 64):
-            x, where = pairs[alive], part[alive]
-            ok = np.ones(len(alive), bool)
-            for place in self.places(x, j, self.bits[where]):
-                spot = place.astype(np.int64) + self.offset[where]
-                ok &= (self.data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+            where = part[alive]
+            ok = np.arange(len(alive))
+            for place in self.places(pairs[alive], j, self.bits[where]):
+                spot = place[ok].astype(np.int64) + self.offset[where[ok]]
+                ok = ok[(self.data[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1]
             alive = alive[ok]
             if not len(alive):
                 break
@@ -313,7 +317,8 @@ def _score(mass: float, total: int, known: int, alpha: float, id_type: pa.DataTy
             history[np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)] = counts[ends[0]]
             number = np.unique(pair_hashes(tokens, lengths), return_inverse=True)[1]
             levels = _of_kind(right, "pairs").astype(np.int64)[number]
-            seen = np.where((levels > 0) & (history > 0), np.minimum(np.exp2(np.maximum(levels, 1) - 1.0), history) / np.maximum(history, 1.0), 0.0)
+            most = np.minimum(history, counts)
+            seen = np.where((levels > 0) & (most > 0), np.minimum(np.exp2(np.maximum(levels, 1) - 1.0), most) / np.maximum(history, 1.0), 0.0)
             mixed = np.where(history > 0, mass * seen + (1 - mass) * base, base)
             starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
             sums = [np.add.reduceat(x, starts) for x in (np.log10(base), np.log10(mixed), (counts > 0).astype(np.int64))]

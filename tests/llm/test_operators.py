@@ -271,6 +271,20 @@ def test_language_model_keeps_every_pair(docs, corpus):
     assert all(g[2] >= w[2] - 1e-9 * w[1] for g, w in zip(got, want, strict=True))
 
 
+def test_language_model_equals_exact_counts(docs, corpus):
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_documents(docs).collect())
+    want = sorted((str(i), n, x) for i, n, x in exact_scores(corpus))
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, want, strict=True))
+
+
+def test_bloom_admits_hardly_any_other_pair():
+    rng = np.random.default_rng(8)
+    pairs = np.unique(rng.integers(0, 1 << lm.PAIR_BITS, 100_000, dtype=np.uint64))
+    bloom = lm.LogBloom(3, {part: lm.LogBloom.segment(pairs[s], np.ones(s.stop - s.start, np.uint64)) for part, s in lm._pair_ranges(pairs, 3)})
+    assert (bloom.levels(pairs) == 1).mean() > 1 - 1e-5
+    assert (bloom.levels(rng.integers(0, 1 << lm.PAIR_BITS, 1_000_000, dtype=np.uint64)) > 0).mean() < 1e-5
+
+
 def test_bloom_levels_never_fall_short():
     rng = np.random.default_rng(7)
     pairs = np.unique(rng.integers(0, 1 << lm.PAIR_BITS, 3000, dtype=np.uint64))
