@@ -197,13 +197,16 @@ def links(classes: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:
     return dealt.mapInArrow(tidy(meet), "a bigint, b bigint")
 
 
+def _rooted(classes: DataFrame, distance: int, groups: int) -> DataFrame:
+    """Every class with its root; classes without links are their own."""
+    roots = components(links(classes, distance, groups))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs (doc_id, text)."""
     fps = cut(with_fingerprints(docs))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes, distance, groups))
-    # Every class with its root; classes without links are their own.
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"))), distance, groups)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = cut(rooted.join(least, "root").select("fp", "component_id"))
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
@@ -213,8 +216,24 @@ def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the smallest doc_id. Of rows that repeat a doc_id one stays; rows without a doc_id all stay."""
-    kept = near_duplicates(docs.filter("doc_id is not null"), **options).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+def keep_first(docs: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, and of the smallest text digest among rows that share it.
+
+    Groups are of texts: rows of one doc_id but unrelated texts are of different groups and stay, and rows without a doc_id, which come last, are grouped
+    like others. Of rows equal in doc_id and text one stays.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            fps = [fingerprint(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "digest", "fp"])
+
+    rows = docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(tidy(run), f"doc_id {kind}, digest string, fp bigint")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    classes = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    first = cut(_rooted(classes, distance, groups).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__first")))
+    named = docs.withColumn("__digest", digest)
+    kept = named.join(first, named["doc_id"].eqNullSafe(first["__id"]) & (named["__digest"] == first["__first"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__digest"]).drop("__digest")

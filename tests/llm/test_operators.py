@@ -125,6 +125,15 @@ def test_simhash_keeps_one_of_each_group(docs):
     assert len(ids) == len(set(ids)) and 200 in ids and 201 not in ids and sum(r.doc_id is None for r in kept) == 1
 
 
+def test_simhash_keeps_groups_of_text_not_of_ids(spark):
+    a, b, c, d = ("one two three four five", "six seven eight nine ten", "red green blue black white", "north south east west up")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (2, c, "x"), (2, c, "x"), (None, d, "x"), (None, d, "x"), (None, b, "x"), (3, None, "x"), (4, "", "x")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, fp string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "fp"]
+    # A null text and an empty one are alike, and 3 comes before 4.
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a, "x"), (2, b, "x"), (2, c, "x"), (None, d, "x"), (3, None, "x")])
+
+
 def test_links_lose_nothing_within_the_distance(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
