@@ -1,9 +1,9 @@
 """Operator 9: BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The most frequent words of the corpus (counted over all documents) are encoded once by exact merging and compiled into
-an acyclic automaton whose equal suffixes are shared. Each transition carries the number of words that sort before those
+The most frequent words of the corpus (counted over all documents; LEXICON_WORDS of them and LEXICON_BYTES bytes at most) are encoded once by exact
+merging and compiled into an acyclic automaton whose equal suffixes are shared. Each transition carries the number of words that sort before those
 it leads to, so the sum along a path is a word's number, the transducer's output; a table maps it to the word's ids. The
-whole is one file of flat arrays, which each executor writes once to its own folder and memory-maps. A word that the
+whole is one file of flat arrays, which each Python worker writes once, without a name, and memory-maps. A word that the
 automaton does not accept is merged exactly: lowest rank first, leftmost of equal ranks, on a heap, so that a word of any
 length takes n log n steps. The result never depends on what the lexicon holds.
 
@@ -27,8 +27,9 @@ import tempfile
 from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -43,6 +44,8 @@ _SETTLED = re.compile("[^\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u2190-\u21ff\u300
 _ADJACENT = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}")
 #: Pieces that a worker remembers in a generation.
 MEMORY = 350_000
+#: Words of a lexicon, their bytes, and characters of one at most.
+LEXICON_WORDS, LEXICON_BYTES, LONGEST = 1 << 16, 1 << 20, 64
 _NO_PAIR = 1 << 62
 #: Marks that are pre-tokens of their own behind letters.
 _STOPS = frozenset(".,;:!?")
@@ -121,62 +124,66 @@ class Merges:
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """Words with their ids as a minimal acyclic transducer in flat little-endian arrays.
 
-    Words are added in order; when a word leaves the path of its predecessor, the states that it left are final in form
-    and each is replaced by an equal one already registered, if there is one.
+    The words' prefix tree is laid out in arrays, a level of letters at a time. Nodes that are equally high and have the same ends, letters and
+    targets are one state: so from the leaves up, equal suffixes become shared states. Memory is a few dozen bytes for each byte of the words.
     """
     order = sorted(w for w in words if w)
-    edges: list[dict[int, int]] = [{}]
-    final: list[bool] = [False]
-    register: dict[tuple, int] = {}
-    path = [0]  # states along the last word
-
-    def settle(down_to: int, word: bytes) -> None:
-        while len(path) - 1 > down_to:
-            state = path.pop()
-            key = (final[state], tuple(edges[state].items()))
-            edges[path[-1]][word[len(path) - 1]] = register.setdefault(key, state)
-
-    last = b""
+    label, parent, ends, depth_of = bytearray([0]), array("i", [-1]), bytearray([0]), array("H", [0])
+    path, last = [0], b""  # nodes along the last word; nodes are numbered so that a parent's children ascend by letter
     for w in order:
         common = len(os.path.commonprefix([w, last]))
-        settle(common, last)
+        del path[common + 1 :]
         for byte in w[common:]:
-            edges.append({})
-            final.append(False)
-            edges[path[-1]][byte] = len(edges) - 1
-            path.append(len(edges) - 1)
-        final[path[-1]] = True
+            label.append(byte)
+            parent.append(path[-1])
+            ends.append(0)
+            depth_of.append(len(path))
+            path.append(len(label) - 1)
+        ends[path[-1]] = 1
         last = w
-    settle(0, last)
-
-    numbers: dict[int, int] = {}
-    seen: dict[int, int] = {}  # words accepted from a state
-    stack = [(0, False)]
-    while stack:
-        state, ready = stack.pop()
-        if ready:
-            seen[state] = final[state] + sum(seen[t] for t in edges[state].values())
-        elif state not in numbers:
-            numbers[state] = len(numbers)
-            stack.append((state, True))
-            stack.extend((t, False) for t in edges[state].values() if t not in numbers)
-    kept = sorted(numbers, key=numbers.get)
-    first, ends, labels, targets, skips = array("I", [0]), bytearray(), bytearray(), array("I"), array("I")
-    for state in kept:
-        before = int(final[state])
-        for byte, t in edges[state].items():
-            labels.append(byte)
-            targets.append(numbers[t])
-            skips.append(before)
-            before += seen[t]
-        first.append(len(labels))
-        ends.append(final[state])
+    label, parent, ends, depth_of = (np.frombuffer(x, t) for x, t in ((label, np.uint8), (parent, np.int32), (ends, np.uint8), (depth_of, np.uint16)))
+    n = len(label)
+    by_depth = np.argsort(depth_of, kind="stable")
+    levels = np.split(by_depth, np.cumsum(np.bincount(depth_of))[:-1])
+    height, seen = np.zeros(n, np.int32), ends.astype(np.int64)  # the longest way down, and the words accepted from here
+    for nodes in reversed(levels[1:]):
+        np.maximum.at(height, parent[nodes], height[nodes] + 1)
+        np.add.at(seen, parent[nodes], seen[nodes])
+    child = np.argsort(parent[1:], kind="stable").astype(np.int32) + 1
+    begin = np.searchsorted(parent[child], np.arange(n + 1)).astype(np.int64)
+
+    state, first, targets, skips, labels, accepts = np.zeros(n, np.int32), [0], array("I"), array("I"), bytearray(), bytearray()
+    up = np.argsort(height, kind="stable")
+    for nodes in np.split(up, np.cumsum(np.bincount(height))[:-1]):
+        # Equal states are equally high. Those with one letter are compared in bulk.
+        single = nodes[begin[nodes + 1] - begin[nodes] == 1]
+        below = child[begin[single]]
+        keys, where, number = np.unique(ends[single].astype(np.int64) << 40 | label[below].astype(np.int64) << 32 | state[below], return_index=True, return_inverse=True)
+        state[single] = len(accepts) + number
+        accepts += ends[single[where]].tobytes()
+        labels += label[below[where]].tobytes()
+        targets.frombytes(state[below[where]].astype(np.uint32).tobytes())
+        skips.extend(ends[single[where]].tolist())
+        first.extend(range(first[-1] + 1, first[-1] + 1 + len(keys)))
+        register: dict[bytes, int] = {}
+        for node in nodes[begin[nodes + 1] - begin[nodes] != 1].tolist():
+            below = child[begin[node] : begin[node + 1]]
+            key = bytes([ends[node]]) + label[below].tobytes() + state[below].tobytes()
+            at = register.get(key)
+            if at is None:
+                at = register[key] = len(accepts)
+                accepts.append(ends[node])
+                labels += label[below].tobytes()
+                targets.frombytes(state[below].astype(np.uint32).tobytes())
+                skips.frombytes((ends[node] + np.cumsum(seen[below]) - seen[below]).astype(np.uint32).tobytes())
+                first.append(len(labels))
+            state[node] = at
     offsets, ids = array("I", [0]), array("I")
     for w in order:
         ids.extend(words[w])
         offsets.append(len(ids))
-    parts = [x.tobytes() for x in (first, targets, skips, offsets, ids)] + [bytes(ends), bytes(labels)]
-    return struct.pack("<7I", *map(len, parts)) + b"".join(parts)
+    parts = [x.tobytes() for x in (array("I", first), targets, skips, offsets, ids)] + [bytes(accepts), bytes(labels)]
+    return struct.pack("<8I", int(state[0]), *map(len, parts)) + b"".join(parts)
 
 
 class Lexicon:
@@ -188,7 +195,7 @@ class Lexicon:
             f.write(blob)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes, at, views = struct.unpack_from("<7I", self.map), 28, []
+        (self.start, *sizes), at, views = struct.unpack_from("<8I", self.map), 32, []
         for n in sizes:
             views.append((at, at + n))
             at += n
@@ -198,7 +205,7 @@ class Lexicon:
 
     def find(self, word: bytes) -> bytes | None:
         """The ids of a word of the lexicon as little-endian 32-bit integers."""
-        state, number, at, find = 0, 0, self.labels_at, self.map.find
+        state, number, at, find = self.start, 0, self.labels_at, self.map.find
         first, targets, skips = self.first, self.targets, self.skips
         for i in range(len(word)):
             e = find(word[i : i + 1], at + first[state], at + first[state + 1])
@@ -317,12 +324,8 @@ class _Memory(dict):
         return value
 
 
-def frequent_words(docs: DataFrame, size: int) -> list[str]:
-    """The most frequent pre-tokens over all texts, ``size`` at most: those above the count at which no more fit.
-
-    Counting is lossy: each time a task hands on its counts it leaves out words seen once since the last time. So a count may fall short by the number
-    of such times, which matters to rare words only, and never to a result. The driver gets a histogram of counts, and the words.
-    """
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each pre-token of up to LONGEST characters stands in all texts. A task hands its counts on whenever it holds many."""
 
     def count(batches):
         import regex
@@ -333,12 +336,11 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
             total: dict[str, int] = {}
             for space, pieces in (("", lead), (" ", rest)):
                 for p, n in pieces.items():
-                    if len(p) <= 64:
+                    if len(p) <= LONGEST:
                         for w in cut_piece(space + p, pretokens):
                             total[w] = total.get(w, 0) + n
                 pieces.clear()
-            seen = [(w, n) for w, n in total.items() if n > 1]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column(0):
@@ -346,24 +348,62 @@ def frequent_words(docs: DataFrame, size: int) -> list[str]:
                     pieces = line.split(" ")
                     lead[pieces[0]] += 1
                     rest.update(pieces[1:])
-                if len(rest) + len(lead) >= MEMORY:
+                if len(rest) + len(lead) >= MEMORY // 2:
                     yield words()
         yield words()
 
-    counted = cut(docs.select("text").mapInArrow(tidy(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("length(word) > 0"))
-    level = F.least(F.col("n"), F.lit(1 << 16))
-    held, cutoff = 0, 1 << 62
-    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        held += r["count"]
-        if held > size:
-            break
-        cutoff = r.level
-    return sorted(r.word for r in counted.filter(F.col("n") >= cutoff).select("word").collect())
+    return docs.select("text").mapInArrow(tidy(count), "word string, n bigint").filter("length(word) > 0").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, size: int, room: int = LEXICON_BYTES) -> DataFrame:
+    """(word): the most frequent pre-tokens over all texts, ties by hash: as many as make up ``size`` words and ``room`` bytes at most.
 
+    The cut is found by histograms of 256 bins: of counts first, each narrowing the last bin that does not fit, then of hashes among words of that
+    count. So no ranking is ever in one place, and the driver sees 256 rows a time.
+    """
+    counted = cut(word_counts(docs).select("word", "n", F.shiftrightunsigned(F.xxhash64("word"), 2).alias("h"), F.octet_length("word").cast("long").alias("bytes")))
+
+    def narrow(rows: DataFrame, value: Column, top: int, words: int, left: int) -> tuple[int, int, int]:
+        """The least bound so that all rows with a greater value fit; and the words and bytes still free beside them."""
+        low, high = 0, top + 1  # what is at or above ``high`` fits; bins are half-open
+        while high > low:
+            width = max(1, -(-(high - low) // 256))
+            bins = rows.filter((value >= low) & (value < high)).groupBy(F.floor((value - low) / width).cast("long").alias("bin"))
+            for r in sorted(bins.agg(F.count(F.lit(1)).alias("words"), F.sum("bytes").alias("bytes")).collect(), key=lambda r: -r.bin):
+                if r["words"] > words or r["bytes"] > left:
+                    low, high = low + r.bin * width, min(high, low + (r.bin + 1) * width)
+                    break
+                words, left = words - r["words"], left - r["bytes"]
+            else:
+                return low, words, left
+            if width == 1:
+                return high, words, left
+        return high, words, left
+
+    most = counted.agg(F.max("n")).first()[0]
+    if most is None:
+        return counted.select("word")
+    least, words, left = narrow(counted, F.col("n"), most, size, room)
+    tied = counted.filter(F.col("n") == least - 1)
+    bound, _, _ = narrow(tied, F.col("h"), (1 << 62) - 1, words, left)
+    return counted.filter((F.col("n") >= least) | ((F.col("n") == least - 1) & (F.col("h") >= bound))).select("word")
+
+
+def build_lexicon(docs: DataFrame, spec: bytes, size: int = LEXICON_WORDS) -> bytes:
+    """The compiled lexicon, made by one task from ``size`` words and LEXICON_BYTES bytes of them at most; the driver gets the file only."""
+    sent = docs.sparkSession.sparkContext.broadcast(spec)
+
+    def make(batches):
+        merges, words = Merges(sent.value), {}
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                raw = w.encode("utf-8")
+                words[raw] = merges.word(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([compile_lexicon(words)], pa.binary())], ["lexicon"])
 
-def build_lexicon(docs: DataFrame, spec: bytes, size: int = 1 << 18) -> bytes:
-    merges = Merges(spec)
-    return compile_lexicon({w.encode("utf-8"): merges.word(w.encode("utf-8")) for w in frequent_words(docs, size)})
+    made = frequent_words(docs, size).coalesce(1).mapInArrow(tidy(make), "lexicon binary").collect()
+    sent.unpersist()
+    return bytes(made[0].lexicon) if made else compile_lexicon({})
 
 
 def read_spec(path: str) -> bytes:
@@ -371,7 +411,7 @@ def read_spec(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = 1 << 18, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs (doc_id, text); with_ids adds ids binary and decoded string."""
     spec = read_spec(tokenizer)
     sent = docs.sparkSession.sparkContext.broadcast((spec, build_lexicon(docs, spec, lexicon_words)))

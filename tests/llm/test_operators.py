@@ -164,8 +164,9 @@ def test_manhattan_bounds_hamming():
 
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(300)] + [(5, 5)]
-    roots = {r.node: r.root for r in graph.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
-    assert len({roots[i] for i in range(301)}) == 1 and len({roots[x] for x in [1000, 2000, 2299]}) == 1 and roots[0] != roots[1000]
+    for few in (0, 20, 1000):  # all by rounds, the last edges in one task, all of them
+        roots = {r.node: r.root for r in graph.components(spark.createDataFrame(path, "a bigint, b bigint"), few=few).collect()}
+        assert len({roots[i] for i in range(301)}) == 1 and len({roots[x] for x in [1000, 2000, 2299]}) == 1 and roots[0] != roots[1000]
 
 
 def test_bpe_equals_the_library(docs, corpus):
@@ -181,6 +182,39 @@ def test_bpe_equals_the_library(docs, corpus):
         assert r.decoded == t.decode(ids, skip_special_tokens=False) and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
+def test_frequent_words_are_the_first_by_count(spark):
+    words = [f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(k, " ".join(["x", *words] + words[: 10] * 2 + [words[0]] * 70_000)) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    counted = {r.word: r.n for r in bpe.word_counts(docs).collect()}
+    exact = Counter(w for _, t in rows for w in re.findall(r" ?[^ ]+", t))
+    flat = Counter()
+    for w, n in exact.items():
+        for part in re.findall(r" ?[a-z]+|[0-9]+", w):
+            flat[part] += n
+    assert counted == flat
+    for size in (0, 1, 5, 12, 20, 500):
+        got = [r.word for r in bpe.frequent_words(docs, size).collect()]
+        assert len(got) == len(set(got)) == min(size, len(flat))
+        assert sorted((flat[w] for w in got), reverse=True) == sorted(flat.values(), reverse=True)[:size]
+    assert sum(len(r.word) for r in bpe.frequent_words(docs, 500, room=20).collect()) <= 20
+    assert bpe.frequent_words(docs.limit(0), 5).collect() == []
+
+
+def test_lexicon_of_many_words_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    words = {bytes(w): [k] for k, w in enumerate(rng.integers(97, 123, (20_000, 16), dtype=np.uint8))}
+    tracemalloc.start()
+    blob = bpe.compile_lexicon(words)
+    assert tracemalloc.get_traced_memory()[1] < 200 * 16 * len(words)
+    tracemalloc.stop()
+    lexicon = bpe.Lexicon(blob)
+    assert all(np.frombuffer(lexicon.find(w), "<u4").tolist() == ids for w, ids in words.items())
+    assert bpe.Lexicon(bpe.compile_lexicon({})).find(b"a") is None
+
+
 def test_transducer_accepts_its_words_only():
     words = {w.encode(): [k, k + 1] for k, w in enumerate(["tap", "taps", "top", "tops", " top", "a", "é", "stop", "stops"])}
     blob = bpe.compile_lexicon(words)
