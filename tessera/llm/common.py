@@ -68,6 +68,12 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def digest_bits(*parts: Column) -> Column:
+    """52 bits of the MD5 digest of the parts, as text, joined by a vertical bar; a null part counts as the word null."""
+    joined = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+    return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html, langid, lm, mixing, sharding, simhash, tokencount, topk
+from . import bpe, embeddings, html, langid, lm, mixing, oracle, sharding, simhash, tokencount, topk
 from .common import id_remainder, table
 
 
@@ -80,4 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hash, tokenize or learn by means that SQL lacks; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_hash_tree_shards": oracle.shards_sql(8),
+    "op2_pivot_top_k": oracle.top_k_sql(20, 64, 20),
+    "op5_collision_classes": oracle.classes_sql(0.98),
+    "op7_pareto_mix": oracle.mix_sql((1.0, 2.0, 3.0), 3),
+}

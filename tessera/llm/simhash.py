@@ -141,11 +141,18 @@ def _forest(fps: np.ndarray, distance: int):
                 rest = rest[keep]
 
 
-#: Runs up to this length are compared at all offsets; longer ones by their spanning forest.
-SHORT_RUN = 24
+#: Runs up to this length are compared at all offsets; longer ones by their spanning forest; those of a crowded cell are cut up first.
+SHORT_RUN, CROWDED = 24, 4096
 
 
-def _cell_links(cells: np.ndarray, fps: np.ndarray, distance: int):
+def _cell_links(cells: np.ndarray, fps: np.ndarray, distance: int, bands: int = 0):
+    """Links among the rows of each cell (rows of a cell stand together).
+
+    A crowded cell is cut again: of distance + 1 equal bands of bits, two linked fingerprints share at least one, so links are sought among rows that
+    agree in a band, band by band.
+    """
+    if not len(cells):
+        return
     starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     lengths = np.diff(np.concatenate([starts, [len(cells)]]))
     run = np.repeat(np.arange(len(starts)), lengths)
@@ -153,7 +160,15 @@ def _cell_links(cells: np.ndarray, fps: np.ndarray, distance: int):
     if short.any():
         yield from _pairs_of_runs(fps[short], run[short], distance)
     for k in np.flatnonzero(lengths > SHORT_RUN).tolist():
-        yield from _forest(fps[starts[k] : starts[k] + lengths[k]], distance)
+        crowd = fps[starts[k] : starts[k] + lengths[k]]
+        if len(crowd) <= CROWDED or bands >= 1:
+            yield from _forest(crowd, distance)
+            continue
+        width = -(-64 // (distance + 1))
+        for low in range(0, 64, width):
+            mask = np.uint64(((1 << min(width, 64 - low)) - 1) << low)
+            order = np.argsort(crowd & mask, kind="stable")
+            yield from _cell_links((crowd & mask)[order], crowd[order], distance, bands + 1)
 
 
 def links(classes: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:
@@ -173,24 +188,25 @@ def links(classes: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.tile(fps, len(masks)).view(np.int64))], ["cell", "fp"])
 
     def meet(batches):
-        held_cells, held_fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of a cell that may go on in the next batch
 
-        def out(cells, fps):
-            found = list(_cell_links(cells, fps, distance)) if len(cells) else []
-            if found:
-                a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        def out(parts):
+            cells, fps = (np.concatenate(c) for c in zip(*parts, strict=True))
+            for a, b in _cell_links(cells, fps, distance):
                 pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i]).view(np.int64)) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
-            held_cells = np.concatenate([held_cells, b.column(0).to_numpy(zero_copy_only=False)])
-            held_fps = np.concatenate([held_fps, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(held_cells):
+            cells, fps = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(cells):
                 continue
-            end = int(np.searchsorted(held_cells, held_cells[-1]))  # sorted: the last cell may go on in the next batch
-            yield from out(held_cells[:end], held_fps[:end])
-            held_cells, held_fps = held_cells[end:], held_fps[end:]
-        yield from out(held_cells, held_fps)
+            end = int(np.searchsorted(cells, cells[-1]))  # rows are sorted by cell
+            if end or held and held[0][0][0] != cells[0]:
+                yield from out([*held, (cells[:end], fps[:end])])
+                held = []
+            held.append((cells[end:], fps[end:]))
+        if held:
+            yield from out(held)
 
     cells = classes.select("fp").mapInArrow(tidy(spread), "cell bigint, fp bigint")
     dealt = cells.repartition(partitions_of(classes.sparkSession), "cell").sortWithinPartitions("cell", "fp")
@@ -217,23 +233,23 @@ def hex_of(fp: str = "fp"):
 
 
 def keep_first(docs: DataFrame, distance: int = 3, groups: int = 6) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id, and of the smallest text digest among rows that share it.
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, and of the smallest digest among rows that share it.
 
     Groups are of texts: rows of one doc_id but unrelated texts are of different groups and stay, and rows without a doc_id, which come last, are grouped
     like others. Of rows equal in doc_id and text one stays.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    # One key for the doc_id and the text: the rows are moved by it once, to be picked and to drop repeats.
+    named = F.concat_ws("|", F.col("doc_id").isNull().cast("int"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    key = F.sha2(named.cast("binary"), 256)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             fps = [fingerprint(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "digest", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(tidy(run), f"doc_id {kind}, digest string, fp bigint")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    rows = docs.select("doc_id", "text", key.alias("key")).mapInArrow(tidy(run), f"doc_id {kind}, key string, fp bigint")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     classes = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
-    first = cut(_rooted(classes, distance, groups).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__first")))
-    named = docs.withColumn("__digest", digest)
-    kept = named.join(first, named["doc_id"].eqNullSafe(first["__id"]) & (named["__digest"] == first["__first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    first = cut(_rooted(classes, distance, groups).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")))
+    return docs.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

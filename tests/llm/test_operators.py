@@ -40,8 +40,9 @@ def least_reachable(n, links, ids):
     return [least.get(find(i)) for i in range(n)]
 
 
-def test_sharding(docs, corpus):
-    rows = sharding.shard_documents(docs, lanes=4).collect()
+@pytest.mark.parametrize(("lanes", "heavy"), [(4, 1000), (2, 5), (None, 1)])
+def test_sharding(docs, corpus, lanes, heavy):
+    rows = sharding.shard_documents(docs, lanes=lanes, heavy=heavy).collect()
     assert len(rows) == len(corpus)
     slots = defaultdict(list)
     for r in rows:
@@ -65,7 +66,7 @@ def test_sharding_moves_only_where_weights_change(spark):
 
 
 def test_mixing(docs, corpus):
-    rows = mixing.mix(docs, cells=8).collect()
+    rows = mixing.mix(docs, few_rows=3).collect()
     assert len(rows) == len(corpus)
     sizes = defaultdict(int)
     for _, t, _, s in corpus:
@@ -88,14 +89,78 @@ def test_mixing(docs, corpus):
         taken[r.source] += r.taken
         longest[r.source] = max(longest[r.source], r["size"])
     assert all(abs(taken[s] - target[s]) <= max(longest[s] / 2 + 1, 2 * longest[s]) for s in names)
-    again = mixing.mix(docs.repartition(2), cells=8).collect()
+    again = mixing.mix(docs.repartition(2), few_rows=3).collect()
     assert Counter((r.doc_id, r.copies) for r in rows) == Counter((r.doc_id, r.copies) for r in again)
 
 
+def brute_mix(rows, weights=(1.0, 2.0, 3.0), most=3, seed=7):
+    """Copies of each row of (doc_id, size, text, source) by going through all of a source's documents in order of rank."""
+    from fractions import Fraction as Fr
+
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    words = {s: sum(r[1] for r in rows if r[3] == s) for s in names}
+    weight = {s: Fr(weights[k % len(weights)]) for k, s in enumerate(names)}
+
+    def fill(total, part):  # part: key to (weight, most): shares by weight, none above its most
+        full = set()
+        while True:
+            left, w = total - sum(part[x][1] for x in full), sum(part[x][0] for x in part if x not in full)
+            share = {x: left * part[x][0] / w for x in part if x not in full} if w else {}
+            over = {x for x, v in share.items() if v > part[x][1]}
+            if not over:
+                return {x: Fr(part[x][1]) for x in full} | share
+            full |= over
+
+    target = fill(sum(words.values()), {s: (weight[s], most * words[s]) for s in names})
+    out = []
+    for s in names:
+        own = [r for r in rows if r[3] == s]
+        classes = Counter()
+        for r in own:
+            classes[len(f"{r[1]:b}")] += r[1]
+        due = {c: x / classes[c] for c, x in fill(target[s], {c: (c * n, most * n) for c, n in classes.items() if n}).items()}
+        need = target[s] - sum(due[c].__floor__() * classes[c] for c in due)
+        ranked = []
+        for r in own:
+            e = due.get(len(f"{r[1]:b}"), Fr(0))
+            u = (int(hashlib.md5(f"{'null' if r[0] is None else r[0]}|{seed}|{'null' if r[2] is None else r[2]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            pi = float(e - e.__floor__())
+            ranked.append((u / (1 - u) / (pi / (1 - pi)) if pi > 1e-12 else math.inf, r, e.__floor__()))
+        open_, before = True, 0
+        for rank, r, whole in sorted(ranked, key=lambda x: (x[0], x[1][0] is not None, x[1][0] or 0, x[1][1])):
+            open_ = open_ and rank < math.inf and (need - before > 0 if r[1] == 0 else (need - before) / r[1] > 0.5)
+            before += r[1]
+            out.append((r[0], r[1], whole + open_))
+    return out
+
+
+def test_mixing_equals_brute_force(docs, corpus):
+    rows = [(i, len(WORD.findall(t or "")), t, s) for i, t, _, s in corpus]
+    want = Counter(x for x in brute_mix(rows) if x[1])
+    for few in (1, 10_000):
+        got = Counter((r.doc_id, r["size"], r.copies) for r in mixing.mix(docs, few_rows=few).collect() if r["size"])
+        assert got == want
+
+
+def test_mixing_stops_inside_rows_that_are_equal(spark):
+    rows = [(1, "a b c d e", "x")] * 400 + [(i, "one two three", "y") for i in range(1000)] + [(None, "p q", "x")] * 7
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6).cache()
+    made = mixing.mix(docs, few_rows=5).collect()
+    for s in ("x", "y"):
+        taken, target = sum(r.taken for r in made if r.source == s), next(r.target for r in made if r.source == s)
+        assert abs(taken - target) <= 5, (s, taken, target)
+    want = Counter(brute_mix([(i, len(t.split()), t, s) for i, t, s in rows]))
+    assert Counter((r.doc_id, r["size"], r.copies) for r in made) == want
+    copies = Counter()
+    for r in made:
+        copies[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in mixing.apply_mix(docs, few_rows=5).collect()) == +copies
+
+
 def test_mixing_keeps_columns_and_repeats_rows(docs):
-    mixed = mixing.apply_mix(docs, cells=8)
+    mixed = mixing.apply_mix(docs, few_rows=3)
     assert mixed.columns == docs.columns
-    copies = mixing.mix(docs, cells=8).agg(F.sum("copies")).first()[0]
+    copies = mixing.mix(docs, few_rows=3).agg(F.sum("copies")).first()[0]
     assert mixed.count() == copies
 
 
@@ -154,6 +219,22 @@ def test_links_lose_nothing_within_the_distance(spark):
     assert got == want
 
 
+def test_crowded_cells_lose_nothing():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    fps = set()
+    for _ in range(7000):
+        x = int(base[rng.integers(3)])
+        for b in rng.integers(0, 64, rng.integers(0, 6)).tolist():
+            x ^= 1 << b
+        fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    nodes, label = graph.least_labels(*(np.concatenate(c) for c in zip(*simhash._cell_links(np.zeros(len(fps), np.int64), fps, 3), strict=True)))
+    plain = [(a, b) for a, b in simhash._forest(fps, 3)]
+    want_nodes, want = graph.least_labels(*(np.concatenate(c) for c in zip(*plain, strict=True)))
+    assert len(fps) > simhash.CROWDED and (nodes == want_nodes).all() and (label == want).all()
+
+
 def test_manhattan_bounds_hamming():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, (2, 2000), dtype=np.uint64)
@@ -358,10 +439,38 @@ def test_top_k_is_exact(vectors):
     got = defaultdict(list)
     for r in topk.top_k(vectors, pivots=5, sample=100).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    q = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in VECTORS if i is not None and fine(v)]
-    for i, v in {i: v for i, v in q if i % 20 == 0}.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in q if j != i and len(w) == len(v))[:20]
-        assert got.pop(i, []) == [(k + 1, j, -s) for k, (s, j) in enumerate(scores)]
+    assert got == brute_top_k([(i, v) for i, v, _ in VECTORS if i is not None and fine(v)])
+
+
+def brute_top_k(rows, k=20, every=20):
+    q, out = [(i, [math.floor(64 * x) for x in v]) for i, v in rows], defaultdict(list)
+    for n, (i, v) in enumerate(q):
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, (j, w) in enumerate(q) if m != n and len(w) == len(v))[:k]
+            out[i] += [(r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    return {i: sorted(x) for i, x in out.items() if x}
+
+
+def test_top_k_of_repeated_rows_in_many_rounds(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 8)) * 4
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.standard_normal(8) * 0.1]) for i in range(600)]
+    rows += [rows[20]] * 30 + [(40, rows[41][1])] * 3 + [(20, [0.0] * 8)] + [(700 + i, rows[60][1]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(5)
+    narrow = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = defaultdict(list)
+    for r in topk.top_k(df, k=5, pivots=12, sample=60, block_rows=3, chunk_rows=7).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {i: sorted(x) for i, x in got.items()} == brute_top_k(narrow, k=5)
+
+
+def test_top_k_of_scores_beyond_64_bits(spark):
+    rows = [(0, [1e18, 1.0]), (20, [-1e18, 2.0]), (1, [1e18, -5.0]), (2, [3.0, 4.0]), (3, [1e307, 1.0]), (4, [1e200, 1.0]), (40, [1e200, 1e200])]
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=6).collect()}
+    q = {i: [math.floor(64 * x) for x in v] for i, v in rows if i != 3}
+    for i in (0, 20, 40):
+        for j in set(q) - {i}:
+            assert got.pop((i, j)) == max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q[i], q[j], strict=True))))
     assert not got
 
 
