@@ -1,14 +1,16 @@
 """Operator 5: near-duplicate embeddings by collision-counting projections.
 
 Two unit vectors of cosine c differ by sqrt(2 - 2c), and their projections on a unit direction by that times the cosine of an angle: about normal, with
-deviation r = sqrt(2 - 2c) / sqrt(dim). Vectors are projected on ``projections`` + 1 fixed directions. In each of the first ``projections`` the vectors of
-a tile are sorted, and every query counts a collision with what lies within ``width`` * r of it. Pairs with at least t collisions are verified by their
+deviation r = sqrt(2 - 2c) / sqrt(dim). Vectors are projected on ``projections`` fixed directions, in each of which the vectors of a cell
+are sorted, and every query counts a collision with what lies within ``width`` * r of it. Pairs with at least t collisions are verified by their
 cosine in double precision. t is calibrated: the largest count that a pair just at the threshold reaches with probability 1 - ``miss`` or more; closer pairs
 reach it more often. Verification lets nothing below the threshold through.
 
-Tiles come from the last direction, cut into cells as wide as its window (``reach`` * r, by which a pair at the threshold is
-lost with probability 5e-4): a vector is at home in its cell and asks in the cells that its window meets, at most three or four. Cells with
-more rows than a task's fair share are cut into tiles of homes and queries, so no label and no cluster is too large for one task.
+Cells come from further directions, more of them the more vectors the largest label has: a vector is at home in the cell of the direction on which its
+projection is greatest, and asks in the cells of all directions on which it is less by ``reach`` * sqrt(2) * r at most (by which a pair at the threshold
+is lost with probability 5e-4). So pairs are sought in a share of all that falls with the number of cells. A cell with more rows than a task's fair share, as a
+dense cluster makes it, is cut: its homes are sorted by their first projection and cut into tiles of a range of it, and a query goes to the tiles that its
+window meets.
 
 Equal vectors are one class with a multiplicity, and tiles report sums and a spanning forest, not pairs; so a large group of copies costs
 rows in proportion to its size. Links are exact counts of what is found.
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions_of
-from .graph import components
-from .topk import usable
+from .graph import components, least_labels
+from .topk import matrices, usable
 
 #: Rows of a tile, at least and at most.
 SMALLEST_TILE, LARGEST_TILE = 256, 4096
-#: Cells are broadcast up to this number.
-BROADCAST_CELLS = 100_000
+#: Vectors of a label for which there is one more cell, and cells at least and at most.
+CELL_ROWS, LEAST_CELLS, MOST_CELLS = 1024, 16, 2048
+#: Tiles that are broadcast.
+BROADCAST_TILES = 100_000
 
 
 def directions(dim: int, number: int, seed: int = 11) -> np.ndarray:
@@ -51,11 +55,21 @@ def collisions_needed(projections: int, width: float, miss: float) -> int:
     return projections
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def window(dim: int, width: float, threshold: float) -> float:
+    """By how much projections of a pair at the threshold differ, times ``width``."""
+    return min(1.0, width / sqrt(dim)) * sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+
+
 def tile_links(homes: np.ndarray, queries: np.ndarray, threshold: float, projections: int, width: float, miss: float):
     """Pairs (query, home) with cosine >= threshold, by collision counts; rows are unit vectors."""
     dim = homes.shape[1]
-    d = directions(dim, projections + 1)[:, :projections]
-    half = min(1.0, width / sqrt(dim)) * sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    d = directions(dim, projections)
+    half = window(dim, width, threshold)
     needed = collisions_needed(projections, width, miss) if dim > 2 else 0
     order, keys = [], []
     for j in range(projections):
@@ -82,25 +96,16 @@ def tile_links(homes: np.ndarray, queries: np.ndarray, threshold: float, project
     return (np.concatenate(found_q), np.concatenate(found_h)) if found_q else (np.empty(0, np.int64),) * 2
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node of the graph of pairs (a, b) to the least node of its component."""
-    nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = number[: len(a)], number[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[label[moved]], nodes[moved]
-
-
-def near_duplicates(table: DataFrame, threshold: float = 0.98, projections: int = 16, width: float = 1.5, reach: float = 3.5, miss: float = 1e-4) -> DataFrame:
+def cells_of(x: np.ndarray, cells: int, reach: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit vectors: (the cell where each is at home, rows that ask, cells in which they ask)."""
+    dim = x.shape[1]
+    p = x @ directions(dim, cells, 12)
+    # A pair's projections on two directions shift against each other by at most sqrt(2) as much as on one.
+    rows, asked = np.nonzero(p >= p.max(axis=1, keepdims=True) - sqrt(2) * window(dim, reach, threshold))
+    return p.argmax(axis=1), rows, asked
+
+
+def near_duplicates(table: DataFrame, threshold: float = 0.98, projections: int = 16, width: float = 1.5, reach: float = 3.5, miss: float = 1e-4, cells: int | None = None, tile: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of table (vec_id, embedding, label)."""
     spark = table.sparkSession
     rows = table.select("vec_id", "label", "embedding", usable(F.col("embedding")).alias("ok"))
@@ -108,56 +113,50 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, projections: int
     rows = rows.withColumn("key", F.when(linkable, F.xxhash64("label", "embedding")))
     id_type = table.schema["vec_id"].dataType.simpleString()
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = cut(classes.select("key", "least", "times", F.xxhash64("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")))
-    r = sqrt(max(0.0, 2 - 2 * threshold))
+    classes = cut(classes.select("key", "least", "times", F.xxhash64("label").alias("label"), "embedding"))
+    most = classes.groupBy("label", F.size("embedding")).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    cells = cells or int(min(MOST_CELLS, max(LEAST_CELLS, most // CELL_ROWS)))
 
     def spread(payload: bool):
         def run(batches):
             for b in batches:
-                lists = b.column(2)
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                starts = (np.cumsum(sizes) - sizes).astype(np.int64)
                 label = b.column(1).to_numpy(zero_copy_only=False)
-                for dim in np.unique(sizes).tolist():
-                    at = np.flatnonzero(sizes == dim)
-                    x = flat[starts[at][:, None] + np.arange(dim)]
-                    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    p = x @ directions(dim, projections + 1)[:, projections]
-                    half = min(1.0, reach / sqrt(dim)) * r + 1e-9
-                    own = np.floor(p / half).astype(np.int64)
-                    first, last = np.floor((p - half) / half).astype(np.int64), np.floor((p + half) / half).astype(np.int64)
-                    cells, asks, who = [own], [np.zeros(len(at), bool)], [np.arange(len(at))]
-                    for step in range(int((last - first).max()) + 1):
-                        i = np.flatnonzero(first + step <= last)
-                        cells.append(first[i] + step)
-                        asks.append(np.ones(len(i), bool))
-                        who.append(i)
-                    w = at[np.concatenate(who)]
-                    columns = [pa.array(label[w]), pa.array(np.full(len(w), dim, np.int32)), pa.array(np.concatenate(cells)), pa.array(np.concatenate(asks)), b.column(0).take(pa.array(w))]
-                    names = ["label", "dim", "cell", "asks", "key"]
+                for dim, at, x in matrices(b.column(2)):
+                    x = unit(x)
+                    own, who, asked = cells_of(x, cells, reach, threshold)
+                    w = np.concatenate([np.arange(len(at)), who])
+                    first = (x @ directions(dim, 1))[:, 0]
+                    asks = np.arange(len(w)) >= len(at)
+                    columns = [pa.array(label[at[w]]), pa.array(np.full(len(w), dim, np.int32)), pa.array(np.concatenate([own, asked]).astype(np.int32)), pa.array(asks), pa.array(first[w])]
+                    names = ["label", "dim", "cell", "asks", "first"]
                     if payload:
-                        raw = [v.tobytes() for v in x]
-                        columns += [b.column(3).take(pa.array(w)), pa.array([raw[i] for i in np.concatenate(who).tolist()], pa.binary())]
-                        names += ["times", "vector"]
+                        columns += [b.column(k).take(pa.array(at[w])) for k in (0, 3, 2)]
+                        names += ["key", "times", "embedding"]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
         return run
 
-    source = classes.select("key", "label", "embedding", "times")
-    schema = "label bigint, dim int, cell bigint, asks boolean, key bigint"
-    place = ["label", "dim", "cell"]
-    sizes = cut(source.mapInArrow(spread(False), schema).groupBy(*place).agg(F.count(F.when(~F.col("asks"), 1)).alias("homes"), F.count(F.when(F.col("asks"), 1)).alias("queries")))
-    n_cells, n_rows = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("homes") + F.col("queries")), F.lit(0))).first()
-    tile = int(min(LARGEST_TILE, max(SMALLEST_TILE, n_rows // (2 * partitions_of(spark)))))
-    sizes = sizes.filter("homes > 0").select(*place, F.ceil(F.col("homes") / tile).cast("int").alias("h"), F.ceil(F.col("queries") / tile).cast("int").alias("q"))
-    spreading = source.mapInArrow(spread(True), schema + ", times bigint, vector binary")
-    dealt = spreading.join(F.broadcast(sizes) if n_cells <= BROADCAST_CELLS else sizes, place)
+    element = table.schema["embedding"].dataType.simpleString()
+    source, schema, place = classes.select("key", "label", "embedding", "times"), "label bigint, dim int, cell int, asks boolean, first double", ["label", "dim", "cell"]
+    sizes = cut(source.mapInArrow(spread(False), schema).groupBy(*place).agg(F.count(F.when(~F.col("asks"), 1)).alias("homes"), F.count(F.lit(1)).alias("rows"), F.min("first").alias("low"), F.max("first").alias("high")).filter("homes > 0"))
+    n_rows, n_homes = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("homes"), F.lit(0))).first()
+    tile = tile or int(min(LARGEST_TILE, max(SMALLEST_TILE, n_rows // (2 * partitions_of(spark)))))
+    # A cell's range of first projections is cut into as many equal parts as it has tiles of homes.
+    sizes = sizes.select(*place, F.ceil(F.col("homes") / tile).cast("int").alias("tiles"), "low", ((F.col("high") - F.col("low")) * (1 + 1e-9) + 1e-12).alias("range"))
+    spreading = source.mapInArrow(spread(True), schema + f", key bigint, times bigint, embedding {element}")
+    dealt = spreading.join(F.broadcast(sizes) if n_homes // tile + sizes.count() <= BROADCAST_TILES else sizes, place)
+    part = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.col("tiles") - 1.0, (c - F.col("low")) / F.col("range") * F.col("tiles")))).cast("int")
+    half = F.lit(sqrt(max(0.0, 2 - 2 * threshold))) * F.least(F.lit(1.0), reach / F.sqrt("dim")) + 1e-9
+    across = F.when(F.col("asks"), F.sequence(part(F.col("first") - half), part(F.col("first") + half))).otherwise(F.array(part(F.col("first"))))
+    dealt = dealt.withColumn("tile", F.explode(across))
+    # A tile's queries come in groups of a tile's size, each with all the tile's homes.
+    counts = cut(dealt.groupBy(*place, "tile").agg(F.count(F.when(F.col("asks"), 1)).alias("queries"), F.count(F.when(~F.col("asks"), 1)).alias("homes")).filter("homes > 0 and queries > 0"))
+    groups = counts.select(*place, "tile", F.ceil(F.col("queries") / tile).cast("int").alias("q"), F.ceil(F.col("homes") / tile).cast("int").alias("h"))
+    dealt = dealt.join(F.broadcast(groups) if groups.count() <= BROADCAST_TILES else groups, [*place, "tile"])
     draw = lambda n: F.pmod(F.xxhash64("key", F.lit("tile")), F.col(n)).cast("int")
-    across = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("h") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
-    dealt = dealt.withColumn("other", F.explode(across))
-    dealt = dealt.select(*place, F.when(F.col("asks"), F.col("other")).otherwise(draw("h")).alias("th"), F.when(F.col("asks"), draw("q")).otherwise(F.col("other")).alias("tq"), "asks", "key", "times", "vector")
+    other = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("h") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1)))
+    dealt = dealt.withColumn("other", other)
+    dealt = dealt.select(*place, "tile", F.when(F.col("asks"), F.col("other")).otherwise(draw("h")).alias("th"), F.when(F.col("asks"), draw("q")).otherwise(F.col("other")).alias("tq"), "asks", "key", "times", "embedding")
 
     def meet(t: pa.Table) -> pa.Table:
         asks = np.array(t.column("asks").to_pylist(), bool)
@@ -165,19 +164,21 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, projections: int
         empty = pa.table([pa.array([], pa.int64())] * 3, names=["a", "b", "n"])
         if asks.all() or not asks.any():
             return empty
-        vectors = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(keys), -1)
+        (_, _, x), *_ = matrices(t.column("embedding").combine_chunks())
+        x = unit(x)
         hk, qk, ht = keys[~asks], keys[asks], times[~asks]
-        q, h = tile_links(vectors[~asks], vectors[asks], threshold, projections, width, miss)
+        q, h = tile_links(x[~asks], x[asks], threshold, projections, width, miss)
         apart = qk[q] != hk[h]
         q, h = q[apart], h[apart]
         if not len(q):
             return empty
         linked = np.bincount(q, weights=ht[h], minlength=len(qk)).astype(np.int64)
         some = np.flatnonzero(linked)
-        a, b = _forest(qk[q], hk[h])
+        b, a = least_labels(qk[q], hk[h])
+        a, b = a[a != b], b[a != b]
         return pa.table({"a": np.concatenate([qk[some], a]), "b": np.concatenate([qk[some], b]), "n": np.concatenate([linked[some], np.zeros(len(a), np.int64)])})
 
-    met = cut(dealt.groupBy(*place, "th", "tq").applyInArrow(meet, "a bigint, b bigint, n bigint"))
+    met = cut(dealt.groupBy(*place, "tile", "th", "tq").applyInArrow(meet, "a bigint, b bigint, n bigint"))
     links = met.filter("n > 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("links"))
     roots = components(met.filter("n = 0").select("a", "b")).withColumnRenamed("node", "key")
     full = classes.select("key", "least", "times").join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

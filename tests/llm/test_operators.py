@@ -482,8 +482,9 @@ def test_top_k_of_huge_components(spark):
         assert r.score == max(sum(a * b for a, b in zip(q[r.query_id], w, strict=True)) for j, w in q.items() if j != r.query_id)
 
 
-def test_embedding_links(vectors):
-    rows = embeddings.near_duplicates(vectors).collect()
+@pytest.mark.parametrize(("cells", "tile"), [(None, None), (3, 8), (40, 5)])
+def test_embedding_links(vectors, cells, tile):
+    rows = embeddings.near_duplicates(vectors, cells=cells, tile=tile).collect()
     assert len(rows) == len(VECTORS)
     good = [k for k, (i, v, lab) in enumerate(VECTORS) if i is not None and lab is not None and fine(v) and any(v)]
     unit = {k: np.array(VECTORS[k][1]) / np.linalg.norm(VECTORS[k][1]) for k in good}
@@ -494,6 +495,22 @@ def test_embedding_links(vectors):
     assert Counter(map(tuple, rows)) == want
 
 
+def test_embedding_recall_and_growth(spark):
+    """Clusters about the threshold, at two sizes: links found against brute force, and the copies that are dealt for each vector."""
+    rng = np.random.default_rng(12)
+    for n in (600, 2400):
+        centres = rng.standard_normal((n // 12, 64))
+        x = (np.repeat(centres, 12, axis=0) + rng.standard_normal((n, 64)) * 0.1).astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+        found = sum(r.n_links for r in embeddings.near_duplicates(df, cells=max(16, n // 64)).collect())
+        u = embeddings.unit(x.astype(np.float64))
+        same = (np.arange(n)[:, None] - np.arange(n)[None]) % 2 == 0
+        want = int(((u @ u.T >= 0.98) & same).sum()) - n
+        assert want > n and want * 0.99 <= found <= want
+        _, who, _ = embeddings.cells_of(u, max(16, n // 64), 3.5, 0.98)
+        assert len(who) < 8 * n
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>A</a></li></ul></nav><div class="advert box">Buy <b>now</b></div>
 <article><h1>The story</h1><p>First&nbsp;par &amp; more<br>line two &lt;3<p>Second   <b>bo</b>ld<aside>aside words</aside><p>Third.</article>
