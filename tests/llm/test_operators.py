@@ -372,39 +372,58 @@ def test_language_model(docs, corpus):
     assert some and all(r.score > r.base_score for r in some)
 
 
-def exact_scores(corpus, modulus=10, alpha=0.1):
-    """(doc_id, tokens, score) of every row by exact counts of all training pairs, each taken down to a power of two."""
+def exact_model(corpus, modulus=10, alpha=0.1):
+    """(tokens of each row, the probability of a token behind another) by exact counts of all training pairs, each taken down to a power of two."""
     tokens = [WORD.findall(lower(t or "")) + ["\0"] for _, t, _, _ in corpus]
     train = [ws for (i, _, _, _), ws in zip(corpus, tokens, strict=True) if zlib.crc32(str(i if i is not None else "").encode()) % modulus]
     single, pairs = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip(["\1", *ws], ws))  # noqa: B905
     n, v, single["\1"] = sum(single.values()), len(single), len(train)
-    lam = sum(c for c in pairs.values() if c > 1) / sum(pairs.values())
-    for (i, _, _, _), ws in zip(corpus, tokens, strict=True):
-        score = 0.0
-        for h, w in zip(["\1", *ws], ws):  # noqa: B905
-            base = (single[w] + alpha) / (n + alpha * (v + 1))
-            seen = 2 ** (pairs[h, w].bit_length() - 1) / single[h] if pairs[h, w] else 0.0
-            score += math.log10(lam * seen + (1 - lam) * base if single[h] else base)
-        yield i, len(ws), score
+    once, twice = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    less = min(0.95, max(0.05, once / (once + 2 * twice)))
+    given = Counter()
+    for (h, _), c in pairs.items():
+        given[h] += 2 ** (c.bit_length() - 1) - less
+
+    def probability(h, w):
+        base = (single[w] * (w != "\1") + alpha) / (n + alpha * (v + 1))
+        if not single[h]:
+            return base
+        seen = 2 ** (pairs[h, w].bit_length() - 1) - less if pairs[h, w] else 0.0
+        return seen / single[h] + (1 - given[h] / single[h]) * base
+
+    return tokens, probability, [w for w in single if w != "\1"]
+
+
+@pytest.mark.parametrize("parts", [None, 1, 700])
+def test_language_model_equals_exact_counts(docs, corpus, parts):
+    tokens, probability, _ = exact_model(corpus)
+    want = sorted((str(i), len(ws), sum(math.log10(probability(h, w)) for h, w in zip(["\1", *ws], ws))) for (i, _, _, _), ws in zip(corpus, tokens, strict=True))  # noqa: B905
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_documents(docs, parts=parts).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, want, strict=True))
 
 
-def test_language_model_keeps_every_pair(docs, corpus):
-    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_documents(docs).collect())
-    want = sorted((str(i), n, x) for i, n, x in exact_scores(corpus))
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(g[2] >= w[2] - 1e-9 * w[1] for g, w in zip(got, want, strict=True))
+def test_language_model_sums_to_one(corpus):
+    tokens, probability, known = exact_model(corpus)
+    for h in ("\1", tokens[0][0], tokens[3][-2], "never seen"):
+        assert math.isclose(sum(probability(h, w) for w in known) + probability(h, "never seen"), 1.0, rel_tol=1e-9)
 
 
-def test_language_model_equals_exact_counts(docs, corpus):
-    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score_documents(docs).collect())
-    want = sorted((str(i), n, x) for i, n, x in exact_scores(corpus))
-    assert all(math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in zip(got, want, strict=True))
+def test_language_model_tells_documents_that_occur_twice(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60).tolist())) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(30)]
+    scored = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    gain = {i: (r.score - r.base_score) / r.n_tokens for i, r in scored.items() if not r.held_out}
+    twice = [gain[i] for i in range(30) if i in gain and 1000 + i in gain]
+    once = sorted(gain[i] for i in range(30, 400) if i in gain)
+    assert sum(g > once[int(0.95 * len(once))] for g in twice) > 0.9 * len(twice)
 
 
 def test_bloom_admits_hardly_any_other_pair():
     rng = np.random.default_rng(8)
     pairs = np.unique(rng.integers(0, 1 << lm.PAIR_BITS, 100_000, dtype=np.uint64))
-    bloom = lm.LogBloom(3, {part: lm.LogBloom.segment(pairs[s], np.ones(s.stop - s.start, np.uint64)) for part, s in lm._pair_ranges(pairs, 3)})
+    bloom = lm.LogBloom.segment(pairs, np.ones(len(pairs), np.uint64))
     assert (bloom.levels(pairs) == 1).mean() > 1 - 1e-5
     assert (bloom.levels(rng.integers(0, 1 << lm.PAIR_BITS, 1_000_000, dtype=np.uint64)) > 0).mean() < 1e-5
 
@@ -412,12 +431,18 @@ def test_bloom_admits_hardly_any_other_pair():
 def test_bloom_levels_never_fall_short():
     rng = np.random.default_rng(7)
     pairs = np.unique(rng.integers(0, 1 << lm.PAIR_BITS, 3000, dtype=np.uint64))
-    counts = rng.integers(2, 500, len(pairs)).astype(np.uint64)
-    segments = {part: lm.LogBloom.segment(pairs[s], counts[s]) for part, s in lm._pair_ranges(pairs, 7)}
-    bloom = lm.LogBloom(7, segments, 0.5, 2)
-    assert (bloom.levels(pairs) >= lm.LogBloom.level(counts)).all()
-    others = rng.integers(0, 1 << lm.PAIR_BITS, 20_000, dtype=np.uint64)
-    assert (bloom.levels(others) > 0).mean() < 0.1
+    counts = rng.integers(1, 500, len(pairs)).astype(np.uint64)
+    levels = lm.LogBloom.segment(pairs, counts).levels(pairs)
+    assert (levels >= lm.LogBloom.level(counts)).all() and (levels == lm.LogBloom.level(counts)).mean() > 0.999
+
+
+def test_ranges_cover_all_values():
+    rng = np.random.default_rng(9)
+    values = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    for parts in (1, 7, 100_000_000):
+        cuts = lm._ranges(values, 64, parts)
+        assert np.concatenate([values[s] for _, s in cuts]).tolist() == values.tolist() and [p for p, _ in cuts] == sorted({int(v) * parts >> 64 for v in values.tolist()})
+    assert lm._ranges(values[:0], 64, 3) == []
 
 
 VECTORS = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(np.random.default_rng(0).standard_normal((300, 16)))]
