@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -546,7 +547,65 @@ def test_main_text(spark):
     story = "The story\nFirst par & more line two <3\nSecond bold\nThird."
     assert rows[1].text == story == rows[5].text and rows[1].n_chars == len(story)
     assert [rows[k].text for k in (2, 3, 4, 6, 7)] == ["", "", "plain & simple", "a", ""]
-    assert html.main_text(PAGE.replace("article", "section"), html.Weights()).startswith("The story\nFirst par")
+    assert html.main_text(PAGE.replace("article", "section"), html.Weights.of({})) == story
+    odd = df.selectExpr("*", "1 as text", "2 as n_chars", "'x' as score").repartition(3)
+    assert {r.page_id: r.text for r in html.extract(odd, html.fit(odd)).collect()} == {k: r.text for k, r in rows.items()}
+
+
+ARTICLE = "<p>" + " ".join(f"word{i}" for i in range(120)) + "</p>"
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    import pyarrow.parquet as pq
+
+    counts = [Counter(), Counter()]
+    path = "/root/testdata/sf0.01/pages.parquet"
+    pages = [h or "" for h in pq.read_table(path).column("html").to_pylist()] if os.path.exists(path) else [PAGE] * 5
+    for h in pages[::2]:
+        for c, x in zip(counts, html.observed(h, html.Weights.of({})), strict=True):
+            c.update(x)
+    return html.Weights.of({k: (counts[0][k], counts[1][k]) for k in counts[0].keys() | counts[1].keys()}), pages[1::2]
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_marks_do_not_decide_alone(fitted, learned):
+    w = fitted[0] if learned else html.Weights.of({})
+    text = lambda body: html.main_text(f"<html><body>{body}<footer><p>foot note that is long enough to be taken for content</p></footer></body></html>", w)
+    words = " ".join(f"word{i}" for i in range(120))
+    assert text(f'<nav><a href=/>x</a></nav><div class="social-history">{ARTICLE}</div>') == words
+    assert text(f'<div id="main-banner-story">{ARTICLE}</div>') == words
+    ad, share = '<p class="ad">Buy this great thing right now for ten only</p>', '<p>end <span class="share">Share this</span>.</p><p>Of.</p>'
+    comment = '<article class="comment"><p>I liked this story a lot and will read it again with my friends because it is so good</p></article>'
+    assert text(f"<article>{ARTICLE}{ad}{share}</article>{comment}") == f"{words}\nend .\nOf."
+    soup = f'<div class="wrap has-sidebar"><div class="site-header">Big site</div><div class="cookie-banner"><p>{"We use cookies and so do our many partners, please accept. " * 3}</p></div>'
+    soup += f'<div class="post">{ARTICLE}<div class="ad-slot">Buy now</div>{ARTICLE}</div><div class="sidebar"><p>{"more stuff " * 30}</p></div>'
+    soup += f'<div id="comments"><ol class="comment-list"><li class="comment"><p>{"I think so " * 20}</p></li></ol></div></div>'
+    assert text(soup) == f"{words}\n{words}"
+
+
+def test_main_text_of_held_out_pages(fitted):
+    """Pages that were not learned from, with their marks taken away, against what they marked."""
+    w, pages = fitted
+    shares = []
+    for h in pages:
+        want, got = (Counter(html.main_text(x, w).split()) for x in (h, h.replace("<article>", "<div>").replace("</article>", "</div>")))
+        both = sum((want & got).values())
+        shares.append((both / max(1, sum(got.values())), both / max(1, sum(want.values()))))
+    assert min(np.mean(shares, axis=0)) > 0.95
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+
+    w = html.Weights.of({})
+    for one in ("<div>", "<p class=x><b>a ", "<li>a", "</div>", "<a href='", "<!", "<span class=ad>b</span> c "):
+        took = []
+        for n in (4_000, 16_000):
+            start = time.perf_counter()
+            html.main_text(one * n, w)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 8 * took[0] + 0.5, one
 
 
 def test_best_region_equals_all_regions():
