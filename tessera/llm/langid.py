@@ -7,13 +7,14 @@ trigrams and its first and last two letters, each with boundary marks) and the s
 Prediction: the script of a word's first letter narrows the candidates to languages that use it; each candidate scores the sum of
 its features' log probabilities, clipped to ``CLIP`` below the best one. The best path through a text's words maximises the
 sum of scores minus ``penalty`` for every change of language; its runs are the text's spans. The predicted language is that with
-most letters in the path, ties to the smaller name, and the score is its share of all letters; words in a script that no
+most letters in the path, ties to the smaller name. Its score is its share of all letters times its posterior: the softmax over languages of their
+sums of scores over the square root of the number of words (neighbouring words are no independent witnesses). Words in a script that no
 learned language uses count as letters but for no language.
 
 Most texts stay in one language, and that is proved without walking the path: if no stretch of words favours another
 language over the best single one by more than the penalty, no path with a change can win.
 
-Nulls: a null text, or one without a letter, is ``und`` with score 0. Documents with a null language are not learned from. If nothing can
+Nulls: a null text, or one without a letter, is ``und`` with score 0 and no spans. Documents with a null language are not learned from. If nothing can
 be learned, every text is ``und``. A null doc_id counts as the empty id in the fold rule. Empty table: empty result.
 """
 
@@ -183,79 +184,81 @@ class Labeler:
         self.letters = np.concatenate([self.letters, [sum(map(len, r)) for _, r in found]])
         self.silent = np.concatenate([self.silent, silent])
 
-    def path(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of learned pieces: (positions of those with letters, their language numbers or -1, their letters)."""
+    def path(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of learned pieces: (positions of those with letters, their language numbers or -1, their letters, the languages' sums of scores)."""
         rows = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         at = np.flatnonzero(rows >= 0)
         rows = rows[at]
-        path = viterbi(self.scores[rows], self.penalty) if len(rows) else rows
+        scores = self.scores[rows]
+        path = viterbi(scores, self.penalty) if len(rows) else rows
         path[self.silent[rows]] = -1
-        return at, path, self.letters[rows]
+        return at, path, self.letters[rows], scores.sum(axis=0)
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+    def label(self, texts: list[str | None], spans: bool = False) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+        """(language, score, spans if asked for) of each text."""
+        out: list[tuple[str, float, list]] = []
         start = 0
         while start < len(texts):
             stop, held = start, 0
             while stop < len(texts) and held < CHUNK:
                 held += len(texts[stop] or "")
                 stop += 1
-            split = [(t or "").split() for t in texts[start:stop]]
+            some = [t or "" for t in texts[start:stop]]
+            split = [t.split() for t in some]
             start = stop
             if not self.model.langs:
-                out += [("und", 0.0)] * len(split)
+                out += [("und", 0.0, [])] * len(split)
                 continue
             self.learn({p for ps in split for p in ps})
-            for pieces in split:
-                _, path, letters = self.path(pieces)
+            for text, pieces in zip(some, split, strict=True):
+                at, path, letters, sums = self.path(pieces)
                 if not len(path):
-                    out.append(("und", 0.0))
+                    out.append(("und", 0.0, []))
                     continue
                 votes = np.bincount(path[path >= 0], weights=letters[path >= 0], minlength=len(self.model.langs))
                 best = int(votes.argmax())
-                out.append((self.model.langs[best], float(votes[best] / letters.sum())))
+                odds = sums / np.sqrt(len(path))
+                score = float(votes[best] / letters.sum() / np.exp(odds - odds[best]).sum())
+                out.append((self.model.langs[best], score, self.runs_of(text, pieces, at, path) if spans else []))
         return out
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
+    def runs_of(self, text: str, pieces: list[str], at: np.ndarray, path: np.ndarray) -> list[tuple[int, int, str]]:
         """(start, end, language) of the runs of one language, in characters."""
-        pieces = text.split()
-        if not self.model.langs or not pieces:
-            return []
-        self.learn(set(pieces))
-        positions, path, _ = self.path(pieces)
+        name = lambda k: self.model.langs[k] if k >= 0 else "und"
+        if (path == path[0]).all():  # pieces before the first and behind the last have no letters, and so hold neither
+            return [(text.index(pieces[at[0]]), text.rindex(pieces[at[-1]]) + len(pieces[at[-1]]), name(path[0]))]
         out: list[tuple[int, int, str]] = []
-        at, k = 0, 0
+        behind, langs = 0, dict(zip(at.tolist(), path.tolist(), strict=True))
         for i, p in enumerate(pieces):
-            begin = text.index(p, at)
-            at = begin + len(p)
-            if k == len(positions) or positions[k] != i:
+            begin = text.index(p, behind)
+            behind = begin + len(p)
+            if i not in langs:
                 continue
-            lang = self.model.langs[path[k]] if path[k] >= 0 else "und"
-            k += 1
+            lang = name(langs[i])
             if out and out[-1][2] == lang:
-                out[-1] = (out[-1][0], at, lang)
+                out[-1] = (out[-1][0], behind, lang)
             else:
-                out.append((begin, at, lang))
+                out.append((begin, behind, lang))
         return out
 
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        return self.label([text], spans=True)[0][2]
+
 
 def labeler_of(sent, penalty: float) -> Labeler:
     """This worker's labeler for a broadcast model: what it remembers serves all tasks that the worker runs."""
     return held(f"labeler {penalty}", sent.value, lambda: Labeler(sent.value, penalty))
 
 
-def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 3000, alpha: float = 0.3) -> Model:
-    """Learns from a hash sample of about ``per_lang`` labelled documents of each language, all outside the held-out fold.
+def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 3000, alpha: float = 0.3, most_langs: int = 256) -> Model:
+    """Learns from a hash sample of about ``per_lang`` labelled documents of each of the ``most_langs`` languages with most documents, all outside the held-out fold.
 
     What reaches the driver is one row for each language and feature bucket, and for each language and script.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), modulus) != held_out))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
-    if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), {})
-    share = F.element_at(F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, per_lang / sizes[name]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
+    sample = known.select("doc_id", "text", "lang").join(F.broadcast(sizes), "lang").filter(draw < F.lit(float(per_lang)) / F.col("count"))
 
     def count(batches):
         words: dict[str, Counter] = {}
@@ -274,18 +277,21 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_lang: int = 30
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "bucket", "script", "n"])
 
-    counted = known.filter(draw < share).select("lang", "text").mapInArrow(tidy(count), "lang string, bucket int, script string, n bigint").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(set(counted["lang"])) or []
+    counted = sample.select("lang", "text").mapInArrow(tidy(count), "lang string, bucket int, script string, n bigint").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()
+    names, bucket, n = counted.column("lang").to_pylist(), counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
+    langs = sorted(set(names))
+    if not langs:
+        return Model([], np.zeros((BUCKETS, 0)), {})
     number = {name: i for i, name in enumerate(langs)}
-    grams = counted[counted.bucket >= 0]
+    lang = np.array([number[x] for x in names])
+    grams = bucket >= 0
     table = np.full((len(langs), BUCKETS), alpha)
-    table[grams["lang"].map(number).to_numpy(int), grams.bucket.to_numpy(int)] += grams.n.to_numpy(float)
-    used = counted[counted.bucket < 0]
+    table[lang[grams], bucket[grams]] += n[grams]
     masks: dict[str, np.ndarray] = {}
-    for lang, part in used.groupby("lang"):
-        for script, n in zip(part.script, part.n, strict=True):
-            if n >= SCRIPT_SHARE * part.n.sum():
-                masks.setdefault(script, np.zeros(len(langs), bool))[number[lang]] = True
+    letters = np.bincount(lang[~grams], weights=n[~grams], minlength=len(langs))
+    for at in np.flatnonzero(~grams).tolist():
+        if n[at] >= SCRIPT_SHARE * letters[lang[at]]:
+            masks.setdefault(counted.column("script")[at].as_py(), np.zeros(len(langs), bool))[lang[at]] = True
     return Model(langs, np.ascontiguousarray(np.log(table / table.sum(axis=1, keepdims=True)).T), masks)
 
 
@@ -300,11 +306,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool =
         labeler = labeler_of(sent, penalty)
         for b in batches:
             texts = b.column(at).to_pylist()
-            found = labeler.label(texts)
+            found = labeler.label(texts, spans)
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-                more.append(pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in labeler.spans(t or "")] for t in texts], kind))
+                more.append(pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in f[2]] for f in found], kind))
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
 
     schema = StructType(list(docs.schema.fields)).add(names[0], StringType()).add(names[1], DoubleType())

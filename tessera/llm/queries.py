@@ -60,8 +60,8 @@ def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, modulus=4, held_out=2)
-    labelled = langid.identify(docs.select("doc_id", "text"), model)
-    return labelled.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    labelled = langid.identify(docs.select("doc_id", "text"), model, spans=True)
+    return labelled.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -344,7 +344,26 @@ def test_language(docs, corpus, spark):
     mixed = "zala pola kazo zala pola kazo thew whing owth thew whing owth привет"
     spans = labeler.spans(mixed)
     assert [s[2] for s in spans] == ["x", "y", "und"] and mixed[spans[1][0] : spans[1][1]].startswith("thew")
-    assert langid.Labeler(langid.fit(train.limit(0)), 6.0).label(["abc"]) == [("und", 0.0)]
+    assert langid.Labeler(langid.fit(train.limit(0)), 6.0).label(["abc"]) == [("und", 0.0, [])]
+    for t in (mixed, "  zala 12 pola!  ", "", "12", "thew\u2003whing привет zala"):
+        by_word = [(m.start(), m.end()) for m in re.finditer(r"\S+", t) if any(map(str.isalpha, m[0]))]
+        spans = labeler.spans(t)
+        assert ([spans[0][0], spans[-1][1]] == [by_word[0][0], by_word[-1][1]]) if by_word else spans == []
+    sure, unsure = (labeler.label([t])[0][1] for t in ("zala pola kazo zala pola kazo", "zala owth"))
+    assert 0 < unsure < sure <= 1
+
+
+def test_language_of_held_out_documents(spark):
+    """Accuracy on the fold that is not learned from, and that the score tells right from wrong."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the fixture tables are not here")
+    docs = spark.read.parquet(path)
+    rows = langid.identify(docs, langid.fit(docs)).filter("lang is not null").collect()
+    rows = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and any(map(str.isalpha, r.text or ""))]
+    right = [r.score for r in rows if r.lang_pred == r.lang]
+    assert len(rows) > 100 and len(right) > 0.95 * len(rows)
+    assert langid.fit(docs, most_langs=2).langs == sorted(x for x, _ in Counter(r.lang for r in docs.collect() if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2).most_common(2))
 
 
 def test_viterbi_equals_exhaustive_search():
