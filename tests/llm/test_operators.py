@@ -54,6 +54,26 @@ def test_sharding(docs, corpus, lanes, heavy):
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
 
 
+def test_sharding_equals_brute_force(docs, corpus):
+    """Every row's way down the tree, draw by draw."""
+    def placed(key, tree):
+        at, path = "", []
+        for depth in range(3):
+            children = {}
+            for s in tree:
+                names = ["", s.region, f"{s.region}/{s.rack}", f"{s.region}/{s.rack}/{s.shard}"]
+                if names[depth] == at:
+                    children[names[depth + 1]] = children.get(names[depth + 1], 0) + s.weight
+            draw = lambda n, w: -math.log((int(hashlib.md5(f"{'null' if key is None else key}|{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w
+            at = min(children, key=lambda n: (draw(n, children[n]), n))
+            path.append(at)
+        return int(path[-1].rpartition("/")[2])
+
+    tree = sharding.even_tree(8)
+    for r in sharding.shard_documents(docs).collect():
+        assert (r.shard, r.grown_shard) == (placed(r.doc_id, tree), placed(r.doc_id, sharding.grown(tree)))
+
+
 def test_sharding_moves_only_where_weights_change(spark):
     tree = sharding.even_tree(12, regions=3, racks=2)
     heavier = [sharding.Shard(s.region, s.rack, s.shard, 2.0 if s.shard == 0 else 1.0) for s in tree]
@@ -323,10 +343,34 @@ def test_token_counts_sum_and_follow_the_rule(docs, corpus):
     assert tokencount.attribute(ends, bounds, "most")[0].tolist() == [0, 0, 2]
 
 
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_section_counts_equal_brute_force(docs, corpus, rule):
+    """Section by section, byte by byte, by the library's own tokens: each of their letters stands for a byte."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    for sections in (tokencount.sentence_ends, tokencount.line_ends, lambda x: [*range(3, len(x), 3), len(x)] if x else [0]):
+        want = Counter()
+        for i, text, _, _ in corpus:
+            text, counts, crossing = text or "", [], 0
+            ends = sections(text)
+            section_of = [k for k, (a, b) in enumerate(zip([0, *ends], ends)) for c in text[a:b] for _ in c.encode()]  # noqa: B905
+            counts, at = [0] * len(ends), 0
+            for token in t.encode(text, add_special_tokens=False).tokens:
+                held = section_of[at : at + len(token)]
+                at += len(token)
+                crossing += held[0] != held[-1]
+                counts[held[0] if rule == "first" else held[-1] if rule == "last" else max(sorted(set(held)), key=held.count)] += 1
+            want[i, sum(counts), len(ends), crossing, tuple(counts)] += 1
+        got = tokencount.count_sections(docs, TOKENIZER, rule=rule, sections=sections).select("doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens").collect()
+        assert Counter((*r[:4], tuple(r[4])) for r in got) == want
+
+
 def test_field_counts(spark):
     df = spark.createDataFrame([(1, "a title", "some body text"), (2, None, ""), (3, "é" * 50, "x\ny")], "i int, title string, body string")
     rows = tokencount.count_fields(df, "i", ["title", "body"], TOKENIZER).orderBy("i").collect()
     assert all(r.tokens.title + r.tokens.body == r.n_tokens for r in rows) and rows[1].n_tokens >= 1
+    assert tokencount.count_fields(df.limit(0), "i", ["title", "body"], TOKENIZER).collect() == []
 
 
 def test_language(docs, corpus, spark):
