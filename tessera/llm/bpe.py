@@ -1,6 +1,6 @@
 """Operator 9: BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The most frequent words of the corpus (counted over all documents; LEXICON_WORDS of them and LEXICON_BYTES bytes at most) are encoded once by exact
+The most frequent words of the corpus (counted over all documents, but for what a task sees once; LEXICON_WORDS of them and LEXICON_BYTES bytes at most) are encoded once by exact
 merging and compiled into an acyclic automaton whose equal suffixes are shared. Each transition carries the number of words that sort before those
 it leads to, so the sum along a path is a word's number, the transducer's output; a table maps it to the word's ids. The
 whole is one file of flat arrays, which each Python worker writes once, without a name, and memory-maps. A word that the
@@ -45,7 +45,9 @@ _ADJACENT = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 #: Pieces that a worker remembers in a generation.
 MEMORY = 350_000
 #: Words of a lexicon, their bytes, and characters of one at most.
-LEXICON_WORDS, LEXICON_BYTES, LONGEST = 1 << 16, 1 << 20, 64
+LEXICON_WORDS, LEXICON_BYTES, LONGEST = 1 << 17, 1 << 21, 64
+#: Bytes that are looked up at once at the beginning of a word.
+LEAD = 4
 _NO_PAIR = 1 << 62
 #: Marks that are pre-tokens of their own behind letters.
 _STOPS = frozenset(".,;:!?")
@@ -203,16 +205,38 @@ class Lexicon:
         self.first, self.targets, self.skips, self.offsets, self.ids = (whole[a:b].cast("I") for a, b in views[:5])
         self.ends, (self.labels_at, _) = whole[slice(*views[5])], views[6]
 
+        self.leads = self._leads(LEAD)
+
+    def _leads(self, length: int) -> dict[bytes, tuple[int, int]]:
+        """State and number behind each beginning of ``length`` bytes: where to start for longer words."""
+        reached = {b"": (self.start, 0)}
+        for _ in range(length):
+            longer = {}
+            for prefix, (state, number) in reached.items():
+                for e in range(self.first[state], self.first[state + 1]):
+                    at = self.labels_at + e
+                    longer[prefix + self.map[at : at + 1]] = self.targets[e], number + self.skips[e]
+            reached = longer
+        return reached
+
     def find(self, word: bytes) -> bytes | None:
         """The ids of a word of the lexicon as little-endian 32-bit integers."""
-        state, number, at, find = self.start, 0, self.labels_at, self.map.find
+        at, find, length = self.labels_at, self.map.find, len(word)
         first, targets, skips = self.first, self.targets, self.skips
-        for i in range(len(word)):
-            e = find(word[i : i + 1], at + first[state], at + first[state + 1])
+        state, number, i = self.start, 0, 0
+        if length > LEAD:
+            lead = self.leads.get(word[:LEAD])
+            if lead is None:
+                return None
+            state, number = lead
+            i = LEAD
+        while i < length:
+            e = find(word[i : i + 1], at + first[state], at + first[state + 1]) - at
             if e < 0:
                 return None
-            number += skips[e - at]
-            state = targets[e - at]
+            number += skips[e]
+            state = targets[e]
+            i += 1
         if not self.ends[state]:
             return None
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tobytes()
@@ -232,6 +256,9 @@ class Codec:
         self.plain, self.spaced, self.words = _Memory(self._at_start), _Memory(self._behind_space), _Memory(self._word, MEMORY // 10)
         self.newline = self._piece("\n")
         self._spec, self._library = spec, None
+        self.flat = np.frombuffer(b"".join(self.merges.token_bytes), np.uint8)
+        self.lengths = np.array([len(b) for b in self.merges.token_bytes])
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
@@ -264,11 +291,11 @@ class Codec:
             return b"".join([self.words[w] for w in self._cut_by_library(text)])
         if _ADJACENT.search(text):
             return self._piece(text)
-        plain, spaced, out = self.plain, self.spaced, []
+        plain, behind, out = self.plain, self.spaced.__getitem__, []
         for line in text.split("\n"):
             pieces = line.split(" ")
             out.append(plain[pieces[0]])
-            out.extend([spaced[p] for p in pieces[1:]])
+            out.extend(map(behind, pieces[1:]))
             out.append(self.newline)
         return b"".join(out[:-1])
 
@@ -284,8 +311,17 @@ class Codec:
         known = self.merges.token_bytes
         return [known[i] for i in array("I", ids)]
 
+    def raw(self, ids: bytes) -> bytes:
+        """The bytes of all tokens, gathered at once."""
+        i = np.frombuffer(ids, np.uint32)
+        if not len(i):
+            return b""
+        lengths = self.lengths[i]
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[i] - ends + lengths, lengths)].tobytes()
+
     def decode(self, ids: bytes) -> str:
-        return b"".join(self.token_bytes(ids)).decode("utf-8", "replace")
+        return self.raw(ids).decode("utf-8", "replace")
 
 
 def cut_piece(piece: str, pretokens) -> list[str]:
@@ -324,8 +360,12 @@ class _Memory(dict):
         return value
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each pre-token of up to LONGEST characters stands in all texts. A task hands its counts on whenever it holds many."""
+def word_counts(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(word, n): how often each pre-token of up to LONGEST characters stands in all texts.
+
+    A task hands its counts on whenever it holds many, but for words seen less than ``least`` times since: so with 2 a count may fall short by the
+    number of such times, which matters to rare words only. With 1 counts are exact.
+    """
 
     def count(batches):
         import regex
@@ -340,7 +380,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                         for w in cut_piece(space + p, pretokens):
                             total[w] = total.get(w, 0) + n
                 pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+            seen = [(w, n) for w, n in total.items() if n >= least]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())], ["word", "n"])
 
         for b in batches:
             for text in b.column(0):
@@ -348,20 +389,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     pieces = line.split(" ")
                     lead[pieces[0]] += 1
                     rest.update(pieces[1:])
-                if len(rest) + len(lead) >= MEMORY // 2:
+                if len(rest) + len(lead) >= MEMORY:
                     yield words()
         yield words()
 
     return docs.select("text").mapInArrow(tidy(count), "word string, n bigint").filter("length(word) > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, size: int, room: int = LEXICON_BYTES) -> DataFrame:
+def frequent_words(docs: DataFrame, size: int, room: int = LEXICON_BYTES, least: int = 2) -> DataFrame:
     """(word): the most frequent pre-tokens over all texts, ties by hash: as many as make up ``size`` words and ``room`` bytes at most.
 
     The cut is found by histograms of 256 bins: of counts first, each narrowing the last bin that does not fit, then of hashes among words of that
     count. So no ranking is ever in one place, and the driver sees 256 rows a time.
     """
-    counted = cut(word_counts(docs).select("word", "n", F.shiftrightunsigned(F.xxhash64("word"), 2).alias("h"), F.octet_length("word").cast("long").alias("bytes")))
+    counted = cut(word_counts(docs, least).select("word", "n", F.shiftrightunsigned(F.xxhash64("word"), 2).alias("h"), F.octet_length("word").cast("long").alias("bytes")))
 
     def narrow(rows: DataFrame, value: Column, top: int, words: int, left: int) -> tuple[int, int, int]:
         """The least bound so that all rows with a greater value fit; and the words and bytes still free beside them."""
@@ -423,7 +464,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXIC
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for x in b.column(1):
                 ids = codec.encode(x.as_py())
-                raw = b"".join(codec.token_bytes(ids))
+                raw = codec.raw(ids)
                 text = raw.decode("utf-8", "replace")
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
