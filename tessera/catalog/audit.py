@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as ids
 from ..functions import text as tx
 from ..operators import alloc, reconcile, spans, sweep, tally
+from ..plans import verify
+from ..plans.grammar import Parser, Slot, walk
+from ..plans.mint import unresolved
 from . import generate as g
 from . import oracle as o
 from .data import GIVEN, PLACES, SURNAMES
@@ -131,20 +134,21 @@ PHRASES = {"apache license": "licence lines", "general public license": "licence
 
 
 def denylist_scan(spark, sf_dir):
-    return sweep.phrase_hits(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), PHRASES).filter(~F.col("phrase").startswith("der"))
+    return sweep.phrase_hits(read(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), PHRASES)
 
 
 def _denylist_sql() -> str:
     folded = o.fold("text")
     edge = r"(^|[^\pL\pN_])%s([^\pL\pN_]|$)"
-    parts = [f"SELECT doc_id, {o.text(p)} AS phrase, {o.text(s)} AS source FROM documents WHERE regexp_matches({folded}, '{edge % p}')" for p, s in PHRASES.items() if not p.startswith("der")]
+    parts = [f"SELECT doc_id, {o.text(p)} AS phrase, {o.text(s)} AS source FROM documents WHERE regexp_matches({folded}, '{edge % p}')" for p, s in PHRASES.items()]
     return " UNION ALL ".join(parts)
 
 
 def superset(spark, sf_dir):
-    core = spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
-    extension = spark.createDataFrame([(p,) for p in [*list(PHRASES)[:3], "another phrase"]], "phrase string")
-    return reconcile.one_sided(core, extension, "phrase").select(F.col("key").alias("phrase"), "side")
+    """Phrases that an extension of a denylist leaves out: nations as the core, three in four of them as the extension."""
+    nations = [(r.n_nationkey, r.n_name) for r in read(spark, sf_dir, "nation").collect()]
+    core, extension = (sweep.load_phrases("\n".join(f"{n}  # nation {k}" for k, n in some)) for some in (nations, [x for x in nations if x[0] % 4]))
+    return spark.createDataFrame([(p,) for p in sorted(sweep.missing_phrases(extension, core))], "phrase string")
 
 
 def fold_text(spark, sf_dir):
@@ -369,11 +373,14 @@ def replica_diff(spark, sf_dir):
 
 
 def manifest_drift(spark, sf_dir):
-    """Leaf values of two nested documents, compared by their path."""
-    leaf = lambda rows: spark.createDataFrame(rows, "path string, value string")
-    a = leaf([("/pack/name", "x"), ("/pack/version", "1.0.0"), ("/seed", "42"), ("/stats/n", "3")])
-    b = leaf([("/pack/name", "x"), ("/pack/version", "1.0.1"), ("/seed", "42"), ("/policy", None)])
-    return reconcile.compare(a, b, "path", "value").select(F.col("key").alias("path"), "left_value", "right_value", "finding")
+    """Paths at which two nested documents differ: nations by region, some with another key and some left out."""
+    rows = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect()
+    a, b = {"provenance": 1}, {"provenance": 2}
+    for r in rows:
+        a.setdefault(r.r_name, {})[r.n_name] = r.n_nationkey
+        if r.n_nationkey % 5:
+            b.setdefault(r.r_name, {})[r.n_name] = r.n_nationkey + (r.n_nationkey % 7 == 0)
+    return spark.createDataFrame([(p,) for p in verify.drift(a, b)], "path string")
 
 
 def reachability(spark, sf_dir):
@@ -383,12 +390,12 @@ def reachability(spark, sf_dir):
 
 
 def slot_resolve(spark, sf_dir):
-    slots = spark.createDataFrame([("customer.c_name",), ("customer.c_missing",), ("orders.o_totalprice",), ("nowhere.x",)], "slot string")
-    fields = None
-    for t in ("customer", "orders"):
-        one = spark.createDataFrame([(f"{t}.{c}",) for c in read(spark, sf_dir, t).columns], "slot string")
-        fields = one if fields is None else fields.unionByName(one)
-    return slots.join(fields, "slot", "left_anti")
+    """Slots of a template that names every column of two tables as a field of the first: those that it does not have."""
+    columns = {t: read(spark, sf_dir, t).columns for t in ("customer", "orders")}
+    text = " ".join(f"{{field:customer.{c}}}" for t in columns for c in columns[t])
+    nodes = Parser("every", text, frozenset(spans.LABELS), frozenset(ids.ALL), frozenset()).parse()
+    missing = unresolved([n for n in walk(nodes) if isinstance(n, Slot)], "customer", columns["customer"])
+    return spark.createDataFrame([(x,) for x in missing], "slot string")
 
 
 def compose_cross(spark, sf_dir):
@@ -410,7 +417,7 @@ def _spans(spark, sf_dir):
 
 
 def span_extract(spark, sf_dir):
-    found = _spans(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = spans.candidate_spans(read(spark, sf_dir, "documents"), ["doc_id", "text"], "text")
     return found.select("doc_id", "start", "end", "surface", (spans.extract(F.col("text"), F.col("start"), F.col("end")) == F.col("surface")).alias("aligned"))
 
 
@@ -423,7 +430,7 @@ def _span_sql() -> str:
 def span_shape(spark, sf_dir):
     """Candidate spans with labels dealt to them, right and wrong ones, and the rule that each breaks."""
     label = F.get(F.array(*[F.lit(x) for x in ("PAN", "TCKN", "PERSON", "NOPE")]), (F.col("doc_id") % 4).cast("int"))
-    found = _spans(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("label", label)
+    found = spans.candidate_spans(read(spark, sf_dir, "documents"), ["doc_id", "text"], "text").withColumn("label", label)
     return spans.findings(found, list(spans.LABELS)).select("doc_id", "start", "end", "label", F.coalesce("finding", F.lit("-")).alias("finding"))
 
 
@@ -492,7 +499,7 @@ ORACLE = {
     "sweep_counts": f"SELECT origin, count(*) AS candidates, sum(CASE WHEN valid_under <> '' THEN 1 ELSE 0 END)::BIGINT AS valid FROM ({_sweep_sql()}) GROUP BY 1",
     "safe_assertion": _safe_sql(),
     "denylist_scan": _denylist_sql(),
-    "superset": "SELECT 'the and' AS phrase, 'left' AS side UNION ALL SELECT 'der die', 'left' UNION ALL SELECT 'another phrase', 'right'",
+    "superset": f"SELECT {o.fold('n_name')} AS phrase FROM nation WHERE n_nationkey % 4 = 0",
     "fold_text": f"SELECT doc_id, sha256({o.fold('text')}) AS folded_sha256, length({o.fold('text')})::INT AS n_chars FROM documents",
     "fold_local_part": _local_part_sql(),
     "ws_normalize": _ws_sql(),
@@ -516,9 +523,9 @@ SELECT key, 'no document' AS finding, ns AS n FROM j WHERE nd IS NULL UNION ALL
     "entry_reconcile": f"WITH t AS ({_TEXTS_SQL}) SELECT path, 'left' AS side FROM t WHERE doc_id % 11 <> 0 AND doc_id % 13 = 0 UNION ALL SELECT path, 'right' FROM t WHERE doc_id % 11 = 0 AND doc_id % 13 <> 0",
     "site_resolve": "SELECT unnest(['nothing/x', 'orders']) AS site",
     "replica_diff": "SELECT concat('doc-', doc_id) AS path, 'differs' AS finding FROM documents WHERE doc_id % 101 = 0",
-    "manifest_drift": "SELECT * FROM (VALUES ('/pack/version', '1.0.0', '1.0.1', 'differs'), ('/stats/n', '3', NULL, 'missing'), ('/policy', NULL, NULL, 'extra')) t(path, left_value, right_value, finding)",
+    "manifest_drift": "SELECT concat('/', r_name, '/', n_name) AS path FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0 OR n_nationkey % 7 = 0",
     "reachability": "SELECT * FROM (VALUES ('template', 'b', 'unreachable'), ('lexicon', 'unused', 'unreachable'), ('lexicon', 'missing', 'unknown')) t(kind, name, finding)",
-    "slot_resolve": "SELECT unnest(['customer.c_missing', 'nowhere.x']) AS slot",
+    "slot_resolve": "SELECT concat('customer.', column_name) AS slot FROM (DESCRIBE orders)",
     "compose_cross": "SELECT (row_number() OVER (ORDER BY n_nationkey, r_regionkey) - 1)::BIGINT AS position, concat(n_name, ' ', r_name) AS surface FROM nation, region",
     "union_surfaces": "SELECT n_name AS surface FROM nation UNION SELECT r_name FROM region",
     "span_extract": _span_sql(),

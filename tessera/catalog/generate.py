@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import draws as dr
 from ..functions import identifiers as ids
 from ..functions import u64
+from ..plans.mint import derived
 from ..plans.streams import stream_prefix
 from . import oracle as o
 from .data import GIVEN, PLACES, SURNAMES, amounts_table
@@ -182,24 +183,22 @@ def gen_email(spark, sf_dir):
 
 def derive_ratio(spark, sf_dir):
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint") - 15_000_000
-    df = read(spark, sf_dir, "orders").select("o_orderkey", cents.alias("c"))
-    n = F.col("c") * 82
-    return df.select("o_orderkey", F.col("c").alias("cents"), ((n - F.pmod(n, F.lit(100))) / 100).cast("bigint").alias("net_cents"))
+    df = read(spark, sf_dir, "orders").select("o_orderkey", cents.alias("cents"))
+    return df.select("o_orderkey", "cents", derived("ratio_of", {"numerator": 82, "denominator": 100}, F.col("cents"), True).alias("net_cents"))
 
 
 def derive_copy(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("mirror"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", derived("copy_of", {}, F.col("o_custkey"), True).alias("mirror"))
 
 
 def derive_flag(spark, sf_dir):
     status = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", (~status.eqNullSafe(F.lit("F"))).alias("flag"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", derived("flag_unless", {"value": "F"}, status, False).alias("flag"))
 
 
 def derive_date_offset(spark, sf_dir):
     shown = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")
-    moved = F.date_add(F.to_date(F.substring(shown, 1, 10)), 365).cast("string")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", moved.alias("plus_year"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", derived("date_offset", {"days": 365}, shown, False).alias("plus_year"))
 
 
 def _weighted_sql(draw: str, weights: list[int], values: list[str]) -> str:

@@ -98,8 +98,9 @@ def _canonical_series(s: pd.Series) -> pd.Series:
 
 
 def security_fold(c: Column) -> Column:
-    """canonical_for_match as a column; ASCII and plain Turkish text never leaves the JVM's own functions."""
-    return F.when(c.rlike(rf"\A[\u0000-\u007f{FOLD_FROM}]*\z"), fold(c)).otherwise(F.pandas_udf(_canonical_series, "string")(c))
+    """canonical_for_match as a column; ASCII and plain Turkish text is folded by the JVM's own functions, and Python gets a null in its place."""
+    plain = c.rlike(rf"\A[\u0000-\u007f{FOLD_FROM}]*\z")
+    return F.when(plain, fold(c)).otherwise(F.pandas_udf(_canonical_series, "string")(F.when(~plain, c)))
 
 
 def display_path(parts: list[str | int]) -> str:

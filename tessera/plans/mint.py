@@ -99,6 +99,29 @@ class Minted:
         return [f.name for f in self.table.fields]
 
 
+def derived(kind: str, params: dict, source: Column, whole: bool) -> Column:
+    """The value that a derived field takes from its source; ``whole`` if that is an integer."""
+    if kind == "copy_of":
+        return source
+    if kind == "flag_unless":
+        return ~source.eqNullSafe(F.lit(params.get("value")))
+    if kind == "ratio_of":
+        if not whole:
+            return F.lit(None).cast("bigint")
+        n, m = int(params.get("numerator", 1)), int(params.get("denominator", 1))
+        if m < 0:
+            n, m = -n, -m
+        wide = source.cast("decimal(38,0)") * F.lit(Decimal(n))
+        return F.floor((wide - F.pmod(wide, F.lit(Decimal(m)))) / F.lit(Decimal(m))).cast("bigint")
+    return F.date_add(F.to_date(F.substring(source.cast("string"), 1, 10)), int(params.get("days", 0))).cast("string")
+
+
+def unresolved(slots, table: str, fields) -> list[str]:
+    """Names of field slots that a table's fields do not have."""
+    allowed = {f"{table}.{x}" for x in fields}
+    return sorted({s.name for s in slots if s.kind == "field" and s.name not in allowed})
+
+
 @dataclass
 class Plan:
     """One run's DataFrames."""
@@ -133,8 +156,7 @@ class Plan:
         known = frozenset(self.pack.lexicons) | self.library.names
         parsed = tuple(Parser(e.id, e.text, frozenset(LABELS), frozenset(ids.ALL), known).parse() for e in entries)
         slots = {n for nodes in parsed for n in walk(nodes) if isinstance(n, Slot)}
-        allowed = {f"{table.name}.{x.name}" for x in table.fields}
-        if wrong := sorted(s.name for s in slots if s.kind == "field" and s.name not in allowed):
+        if wrong := unresolved(slots, table.name, [x.name for x in table.fields]):
             raise MintError(f"templates {f.argument!r} name the unknown field {wrong[0]!r}")
         return Document(
             self.prefix,
@@ -254,27 +276,11 @@ class Plan:
             value = F.when(without, drawn[1][2](drawn[1][0])).otherwise(read(d))
         elif f.kind != "derived":
             value = read(d)
-        elif f.argument == "copy_of":
-            value = source
-        elif f.argument == "flag_unless":
-            value = ~source.eqNullSafe(F.lit(f.params.get("value")))
-        elif f.argument == "ratio_of":
-            value = self._ratio(table, f, source)
         else:
-            moved = F.date_add(F.to_date(F.substring(source.cast("string"), 1, 10)), int(f.params.get("days", 0)))
-            value = moved.cast("string")
+            kinds = {x.name: x.type for x in table.fields}
+            value = derived(f.argument, f.params, source, kinds.get(str(f.params.get("source"))) == "int")
         return F.when(~null(d), value) if null else value
 
-    def _ratio(self, table: Table, f: Field, source: Column) -> Column:
-        kinds = {x.name: x.type for x in table.fields}
-        if kinds.get(str(f.params.get("source"))) != "int":
-            return F.lit(None).cast("bigint")
-        n, m = int(f.params.get("numerator", 1)), int(f.params.get("denominator", 1))
-        if m < 0:
-            n, m = -n, -m
-        wide = source.cast("decimal(38,0)") * F.lit(Decimal(n))
-        return F.floor((wide - F.pmod(wide, F.lit(Decimal(m)))) / F.lit(Decimal(m))).cast("bigint")
-
     def _render(self, df: DataFrame, table: Table) -> DataFrame:
         columns = ["__index", *[f.name for f in table.fields]]
         schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)

@@ -9,7 +9,7 @@ from tessera.functions import draws as dr
 from tessera.functions import text as tx
 from tessera.functions import u64
 from tessera.operators import alloc
-from tessera.plans.render import Stream, identifier, squeeze
+from tessera.plans.render import Layout, Stream, identifier
 from tessera.plans.streams import stream_prefix
 
 
@@ -67,8 +67,10 @@ def test_weights_rates_and_their_places():
 @settings(max_examples=200, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet="ab ,.;:\t\n  )", max_size=30))
 def test_squeezed_text_has_no_loose_space(raw):
-    text, at = squeeze(raw)
-    assert len(at) == len(raw) + 1 and text == text.strip()
+    layout = Layout(raw)
+    text = layout.text
+    assert text == text.strip() and text.replace(" ", "") == "".join(raw.split())
+    assert all(text[layout.place(i)] == c for i, c in enumerate(raw) if not c.isspace())
     assert "  " not in text and not any(f" {c}" in text for c in ",.;:)")
 
 
@@ -76,7 +78,7 @@ def test_whitespace_in_columns_equals_scalar(spark):
     rng = random.Random(4)
     raws = ["".join(rng.choice("ab ,.!\t\n  \u0085\u001c") for _ in range(rng.randint(0, 20))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(raws)), "i int, t string").select("i", tx.normalize_whitespace(F.col("t")).alias("c"))
-    assert all(r.c == squeeze(raws[r.i])[0] for r in df.collect())
+    assert all(r.c == Layout(raws[r.i]).text for r in df.collect())
 
 
 def test_security_fold_sees_through_variants(spark):
