@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--pack")
     verbs.add_parser("packcheck", help="check a pack").add_argument("pack")
     verbs.add_parser("inspect", help="show a manifest").add_argument("directory")
-    verbs.add_parser("schema", help="show what a manifest holds")
+    verbs.add_parser("schema", help="print the JSON Schema of a kind of file").add_argument("kind", nargs="?", choices=("manifest", "pack", "table", "recipe", "templates"), default="manifest")
     for v in verbs.choices.values():
         v.add_argument("--json", action="store_true")
     return p
@@ -70,18 +70,19 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[int, dict, str]:
     raise AssertionError(args.verb)
 
 
-def schema_text() -> dict:
+def schema_of(kind: str) -> dict:
+    from .plans import spec
     from .plans.verify import MANIFEST
 
-    shown = lambda s: {k: shown(v) for k, v in (getattr(s, "required", {}) | getattr(s, "optional", {})).items()} or type(s).__name__.lower()
-    return shown(MANIFEST)
+    shape = MANIFEST if kind == "manifest" else getattr(spec, kind.upper())
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": kind} | shape.json_schema()
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         if args.verb in ("inspect", "schema"):
-            doc = inspect(args.directory) if args.verb == "inspect" else schema_text()
+            doc = inspect(args.directory) if args.verb == "inspect" else schema_of(args.kind)
             code, text = DONE, json.dumps(doc, ensure_ascii=False, indent=2)
         else:
             code, doc, text = run(args, spark or SparkSession.builder.appName("tessera").getOrCreate())

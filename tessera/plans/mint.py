@@ -403,6 +403,19 @@ def mint(
     return manifest
 
 
+def write_tables(spark: SparkSession, *, pack: str | Path, recipe: str, seed: int, folder: str, records: dict[str, int], identifier_policy: str | None = None, fmt: str = "parquet", library: Library | None = None) -> None:
+    """Every table as files of ``fmt`` (any that Spark writes) below ``folder``, a path of any file system that Spark reaches, each row in the file of its
+    partition and spans beside documents. Nothing is joined or counted at the driver, and the ceilings of a dataset directory do not hold:
+    rows are those that ``mint`` makes of the same pack, recipe, seed and numbers of records."""
+    loaded = load_pack(pack)
+    declared = loaded.recipe(recipe)
+    plan = Plan(spark, loaded, declared, seed, resolve_policy(identifier_policy, declared, loaded), dict(records), library or Library())
+    for table in loaded.tables:
+        minted = plan.table(table)
+        rows = minted.rows.select(*minted.columns, F.col("__spans").alias("spans")) if table.document else minted.rows.select(*minted.columns)
+        rows.write.format(fmt).save(f"{folder}/{table.name}")
+
+
 def _fill(plan: Plan, stage: Path, fmt: str, overrides: dict, invocation: str) -> dict[str, Any]:
     outputs, record_counts, distributions, coverage, room = [], {}, [], {}, DATASET_BYTES
     for table in plan.pack.tables:

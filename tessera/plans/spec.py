@@ -44,6 +44,14 @@ class Shape:
     def check(self, v: Any, at: str) -> Iterable[tuple[str, str]]:
         raise NotImplementedError
 
+    def json_schema(self) -> dict[str, Any]:
+        """The same as a JSON Schema."""
+        raise NotImplementedError
+
+
+def _bounds(low: int, high: int, least: str, most: str, lowest: int = 0) -> dict[str, int]:
+    return ({least: low} if low > lowest else {}) | ({most: high} if high < 1 << 62 else {})
+
 
 @dataclass
 class Str(Shape):
@@ -59,6 +67,9 @@ class Str(Shape):
         elif not re.fullmatch(self.pattern, v, re.S):
             yield at, f"{v!r} does not match {self.pattern}"
 
+    def json_schema(self):
+        return {"type": "string"} | ({"pattern": f"^(?:{self.pattern})$"} if self.pattern != ".*" else {}) | _bounds(self.low, self.high, "minLength", "maxLength")
+
 
 @dataclass
 class Int(Shape):
@@ -71,6 +82,9 @@ class Int(Shape):
         elif not self.low <= v <= self.high:
             yield at, f"{v} is not from {self.low} to {self.high}"
 
+    def json_schema(self):
+        return {"type": "integer"} | _bounds(self.low, self.high, "minimum", "maximum", -(1 << 200))
+
 
 @dataclass
 class OneOf(Shape):
@@ -80,6 +94,9 @@ class OneOf(Shape):
         if not any(v == x and isinstance(v, type(x)) for x in self.values):
             yield at, f"{v!r} is none of {', '.join(map(str, self.values))}"
 
+    def json_schema(self):
+        return {"enum": list(self.values)}
+
 
 @dataclass
 class Many(Shape):
@@ -99,6 +116,9 @@ class Many(Shape):
         for i, x in enumerate(v):
             yield from self.item.check(x, f"{at}/{i}")
 
+    def json_schema(self):
+        return {"type": "array", "items": self.item.json_schema()} | _bounds(self.low, self.high, "minItems", "maxItems") | ({"uniqueItems": True} if self.unique else {})
+
 
 @dataclass
 class MapOf(Shape):
@@ -117,6 +137,9 @@ class MapOf(Shape):
             yield from self.key.check(k, f"{at}/{k}")
             yield from self.value.check(x, f"{at}/{k}")
 
+    def json_schema(self):
+        return {"type": "object", "propertyNames": self.key.json_schema(), "additionalProperties": self.value.json_schema()} | _bounds(self.low, self.high, "minProperties", "maxProperties")
+
 
 @dataclass
 class Any_(Shape):
@@ -126,6 +149,9 @@ class Any_(Shape):
         if not isinstance(v, self.kind):
             yield at, f"{v!r} is no {self.kind.__name__}"
 
+    def json_schema(self):
+        return {"type": {bool: "boolean", dict: "object"}[self.kind]} if self.kind in (bool, dict) else {}
+
 
 @dataclass
 class Closed(Shape):
@@ -147,6 +173,10 @@ class Closed(Shape):
             else:
                 yield f"{at}/{k}", "is unknown"
 
+    def json_schema(self):
+        known = {k: x.json_schema() for k, x in (self.required | self.optional).items()}
+        return {"type": "object", "properties": known, "required": sorted(self.required), "additionalProperties": False}
+
 
 _LABEL = OneOf((*LABELS, "none"))
 _VERSION_1 = OneOf((1,))

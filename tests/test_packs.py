@@ -1,4 +1,5 @@
 import json
+import re
 import shutil
 from pathlib import Path
 
@@ -35,6 +36,58 @@ def test_golden_bytes(spark, tmp_path):
         assert (tmp_path / "out" / path.name).read_bytes() == path.read_bytes(), path.name
 
 
+#: Digests of what seed 7 makes of the sample pack: any change of a byte must be meant.
+GOLDEN = json.loads((Path(__file__).parent / "golden.json").read_text())
+
+
+@pytest.mark.parametrize("fmt", ["jsonl", "csv"])
+def test_own_golden_digests(spark, tmp_path, fmt):
+    made = m.mint(spark, pack=SAMPLE, recipe="demo", seed=7, out=tmp_path / "out", fmt=fmt)
+    assert {x["path"]: x["sha256"] for x in made["outputs"]} == GOLDEN[fmt]
+
+
+def test_tables_written_by_spark_hold_the_same_rows(spark, dataset, tmp_path):
+    m.write_tables(spark, pack=SAMPLE, recipe="demo", seed=7, folder=(tmp_path / "t").as_uri(), records={"member": 120, "payment": 160})
+    rows = {r.payment_id: r for r in spark.read.parquet(str(tmp_path / "t" / "payment")).collect()}
+    lines = [json.loads(x) for x in (dataset / "payment.jsonl").read_text().splitlines()]
+    assert len(rows) == len(lines) and all(rows[x["payment_id"]].note == x["note"] and rows[x["payment_id"]].amount == x["amount"] for x in lines)
+    spans = {x["doc_id"]: x["spans"] for x in map(json.loads, (dataset / "payment.labels.jsonl").read_text().splitlines())}
+    assert all([s.asDict() for s in rows[k].spans] == v for k, v in spans.items())
+    assert spark.read.parquet(str(tmp_path / "t" / "member")).count() == 120
+
+
+def test_schemas_hold_what_is_made(dataset, capsys):
+    def conforms(v, s):
+        if "enum" in s:
+            return v in s["enum"]
+        kinds = {"object": dict, "array": list, "string": str, "integer": int, "boolean": bool}
+        if "type" in s and not isinstance(v, kinds[s["type"]]):
+            return False
+        if isinstance(v, dict):
+            known = s.get("properties", {})
+            rest = s.get("additionalProperties", {})
+            return set(s.get("required", ())) <= v.keys() and all(conforms(x, known[k]) if k in known else rest is not False and conforms(x, rest) for k, x in v.items())
+        if isinstance(v, list):
+            return all(conforms(x, s.get("items", {})) for x in v)
+        return not isinstance(v, str) or "pattern" not in s or re.match(s["pattern"], v) is not None
+
+    files = {"manifest": dataset / m.MANIFEST, "pack": SAMPLE / "pack.yaml", "table": SAMPLE / "fields/payment.yaml", "recipe": SAMPLE / "recipes/demo.yaml"}
+    for kind, path in files.items():
+        assert main(["schema", kind, "--json"]) == DONE
+        schema = json.loads(capsys.readouterr().out)
+        value = json.loads(path.read_text()) if kind == "manifest" else load_yaml(path)
+        assert conforms(value, schema), kind
+        assert not conforms(value | {"another": 1}, schema)
+
+
+def test_every_label_has_surfaces():
+    from tessera.operators.spans import ENTITY_LABELS
+
+    library = Library()
+    assert all(library.surfaces(label) and all(library.surfaces(label)) for label in ENTITY_LABELS)
+    assert {"occupations_tr", "provinces_tr", "street_parts_tr"} <= library.names and all(library.lexicon(n) for n in library.names)
+
+
 def test_partitions_do_not_matter(spark, dataset, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
