@@ -505,7 +505,7 @@ def test_ranges_cover_all_values():
     values = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
     for parts in (1, 7, 100_000_000):
         cuts = lm._ranges(values, 64, parts)
-        assert np.concatenate([values[s] for _, s in cuts]).tolist() == values.tolist() and [p for p, _ in cuts] == sorted({int(v) * parts >> 64 for v in values.tolist()})
+        assert np.concatenate([values[s] for _, s in cuts]).tolist() == values.tolist() and [p for p, _ in cuts] == sorted({(int(v) >> 32) * parts >> 32 for v in values.tolist()})
     assert lm._ranges(values[:0], 64, 3) == []
 
 
