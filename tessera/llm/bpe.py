@@ -1,6 +1,6 @@
 """Operator 9: BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The most frequent words of the corpus (counted over all documents, but for what a task sees once; LEXICON_WORDS of them and LEXICON_BYTES bytes at most) are encoded once by exact
+The most frequent words of the corpus (counted over all documents; LEXICON_WORDS of them and LEXICON_BYTES bytes at most) are encoded once by exact
 merging and compiled into an acyclic automaton whose equal suffixes are shared. Each transition carries the number of words that sort before those
 it leads to, so the sum along a path is a word's number, the transducer's output; a table maps it to the word's ids. The
 whole is one file of flat arrays, which each Python worker writes once, without a name, and memory-maps. A word that the
@@ -46,6 +46,8 @@ _ADJACENT = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 MEMORY = 350_000
 #: Words of a lexicon, their bytes, and characters of one at most.
 LEXICON_WORDS, LEXICON_BYTES, LONGEST = 1 << 17, 1 << 21, 64
+#: Characters of text that a task counts before it hands its counts on.
+HELD_TEXT = 1 << 26
 #: Bytes that are looked up at once at the beginning of a word.
 LEAD = 4
 _NO_PAIR = 1 << 62
@@ -360,11 +362,10 @@ class _Memory(dict):
         return value
 
 
-def word_counts(docs: DataFrame, least: int = 2) -> DataFrame:
-    """(word, n): how often each pre-token of up to LONGEST characters stands in all texts.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each pre-token of up to LONGEST characters stands in all texts. Counts are exact.
 
-    A task hands its counts on whenever it holds many, but for words seen less than ``least`` times since: so with 2 a count may fall short by the
-    number of such times, which matters to rare words only. With 1 counts are exact.
+    A task hands its counts on whenever it holds many pieces or has read much text.
     """
 
     def count(batches):
@@ -376,33 +377,36 @@ def word_counts(docs: DataFrame, least: int = 2) -> DataFrame:
             total: dict[str, int] = {}
             for space, pieces in (("", lead), (" ", rest)):
                 for p, n in pieces.items():
-                    if len(p) <= LONGEST:
-                        for w in cut_piece(space + p, pretokens):
+                    for w in cut_piece(space + p, pretokens):
+                        if len(w) <= LONGEST:
                             total[w] = total.get(w, 0) + n
                 pieces.clear()
-            seen = [(w, n) for w, n in total.items() if n >= least]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
 
+        read = 0
         for b in batches:
-            for text in b.column(0):
-                for line in (text.as_py() or "").split("\n"):
+            for x in b.column(0):
+                text = x.as_py() or ""
+                for line in text.split("\n"):
                     pieces = line.split(" ")
                     lead[pieces[0]] += 1
                     rest.update(pieces[1:])
-                if len(rest) + len(lead) >= MEMORY:
+                read += len(text)
+                if len(rest) + len(lead) >= MEMORY or read >= HELD_TEXT:
                     yield words()
+                    read = 0
         yield words()
 
     return docs.select("text").mapInArrow(tidy(count), "word string, n bigint").filter("length(word) > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, size: int, room: int = LEXICON_BYTES, least: int = 2) -> DataFrame:
+def frequent_words(docs: DataFrame, size: int, room: int = LEXICON_BYTES) -> DataFrame:
     """(word): the most frequent pre-tokens over all texts, ties by hash: as many as make up ``size`` words and ``room`` bytes at most.
 
     The cut is found by histograms of 256 bins: of counts first, each narrowing the last bin that does not fit, then of hashes among words of that
     count. So no ranking is ever in one place, and the driver sees 256 rows a time.
     """
-    counted = cut(word_counts(docs, least).select("word", "n", F.shiftrightunsigned(F.xxhash64("word"), 2).alias("h"), F.octet_length("word").cast("long").alias("bytes")))
+    counted = cut(word_counts(docs).select("word", "n", F.shiftrightunsigned(F.xxhash64("word"), 2).alias("h"), F.octet_length("word").cast("long").alias("bytes")))
 
     def narrow(rows: DataFrame, value: Column, top: int, words: int, left: int) -> tuple[int, int, int]:
         """The least bound so that all rows with a greater value fit; and the words and bytes still free beside them."""
