@@ -8,7 +8,9 @@ automaton does not accept is merged exactly: lowest rank first, leftmost of equa
 length takes n log n steps. The result never depends on what the lexicon holds.
 
 A text is cut at single spaces and newlines whose neighbours are no white space; there the pre-tokenizer always cuts.
-What lies between is looked up in a bounded memory of pieces seen by this worker, or else pre-tokenized and encoded.
+Tables are encoded many texts at a time: each different piece between cuts is pre-tokenized once, its words are looked up and merged together in
+arrays, and the ids are put together by the pieces' numbers. A text alone, and one in which white space adjoins, is encoded
+piece by piece, with a bounded memory of pieces seen by this worker.
 
 Nulls: a null text encodes as the empty one: no ids. A text that spells a special token gets its id, as in the library.
 Empty table: empty result. Repeated rows give repeated results.
@@ -25,10 +27,10 @@ import re
 import struct
 import tempfile
 from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,18 @@ _ADJACENT = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 MEMORY = 350_000
 #: Words of a lexicon, their bytes, and characters of one at most.
 LEXICON_WORDS, LEXICON_BYTES, LONGEST = 1 << 17, 1 << 21, 64
-#: Characters of text that a task counts before it hands its counts on.
+#: Bytes of text that a task counts before it hands its counts on.
 HELD_TEXT = 1 << 26
+#: Bytes of text that are cut and encoded together (a longer text alone), words that are merged together, and bytes of a word merged so at most.
+TOGETHER, MERGED, SHORT = 1 << 23, 1 << 14, 64
 #: Bytes that are looked up at once at the beginning of a word.
 LEAD = 4
 _NO_PAIR = 1 << 62
 #: Marks that are pre-tokens of their own behind letters.
 _STOPS = frozenset(".,;:!?")
+_STOP_BYTES = np.array([ord(c) for c in _STOPS], np.uint8)
+#: Letters behind a space or not, and a stop or none: for Arrow.
+_SIMPLE = r"\A ?\pL+[.,;:!?]?\z"
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,6 +69,51 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins in the bytes of all, with the end of the last; and these bytes. Nulls are empty."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    _, begins, data = texts.buffers()
+    offsets = np.frombuffer(begins, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return offsets - offsets[0], np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def groups(texts: pa.Array, room: int = TOGETHER):
+    """The texts in runs of ``room`` bytes at most; a longer text alone."""
+    offsets, a = flat(texts)[0], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + room, "right")) - 1)
+        yield texts.slice(a, b - a)
+        a = b
+
+
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before each space, before and behind each newline; and the number of pieces before each text, with that of all."""
+    offsets, data = flat(texts)
+    begins = np.zeros(len(data) + 1, bool)
+    lines = data == 10
+    begins[:-1] = lines | (data == 32)
+    begins[1:] |= lines
+    begins[offsets] = True
+    at = np.flatnonzero(begins)
+    pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+    return pieces, np.searchsorted(at, offsets)
+
+
+def lists_of_ids(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """An array of lists of ids, as little-endian bytes, so many in each."""
+    offsets = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets * 4), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+
+
+def bytes_of(lists: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where each value of a new large binary array begins in its bytes, with the end of the last; and these bytes."""
+    _, begins, data = lists.buffers()
+    return np.frombuffer(begins, np.int64)[: len(lists) + 1] if len(lists) else np.zeros(1, np.int64), data or pa.py_buffer(b"")
+
+
 class Merges:
     """The vocabulary and merge table of a byte-level BPE file (its JSON text)."""
 
@@ -84,6 +136,12 @@ class Merges:
         for r, pair in enumerate(data["model"]["merges"]):
             a, b = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.rank.setdefault(ids[a] << 20 | ids[b], r << 20 | ids[a + b])
+        # The same in arrays, for many words at once; and for pairs of bytes in a table.
+        order = sorted(self.rank)
+        self.pairs = np.array([*order, _NO_PAIR], np.int64)
+        self.ranks = np.array([*map(self.rank.get, order), _NO_PAIR], np.int64)
+        self.firsts = np.array(self.first, np.int64)
+        self.starts = self.ranked(self.firsts[:, None] << 20 | self.firsts)
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one pre-token, by merging."""
@@ -124,6 +182,73 @@ class Merges:
                 heapq.heappush(heap, (r >> 20, h, ids[h], new, r & 0xFFFFF))
         return [x for x in ids if x != -2]
 
+    def ranked(self, pairs: np.ndarray) -> np.ndarray:
+        """Rank and merged id of each pair, _NO_PAIR if it is not merged."""
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.ranks[at], _NO_PAIR)
+
+    def words(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """Ids of many pre-tokens, each so many bytes of data from where it begins, by merging: as word() has them."""
+        order = np.argsort(lengths, kind="stable")
+        short, done, counts = int(np.searchsorted(lengths[order], SHORT, "right")), [], []
+        for k in range(0, short, MERGED):
+            some = order[k : min(k + MERGED, short)]
+            ids, n = self._together(data, begins[some], lengths[some])
+            done.append(ids)
+            counts.append(n)
+        for k in order[short:].tolist():
+            ids = self.word(data[begins[k] : begins[k] + lengths[k]].tobytes())
+            done.append(np.array(ids, np.int64))
+            counts.append(np.array([len(ids)]))
+        if not done:
+            return lists_of_ids(np.zeros(0), np.zeros(0, np.int64))
+        merged = lists_of_ids(np.concatenate(done), np.concatenate(counts))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return merged.take(pa.array(place))
+
+    def _together(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A column for each word, a row for each place in it. In a step each word merges its leftmost pair of the least rank."""
+        width, n = int(lengths.max(initial=0)), len(lengths)
+        if not width:
+            return np.zeros(0, np.int64), np.zeros(n, np.int64)
+        places, every = np.arange(width)[:, None], np.arange(n)
+        stands = places < lengths
+        letters = data[np.where(stands, begins + places, begins[-1])]
+        ids = self.firsts[letters]
+        if (ids[stands] < 0).any():
+            raise OverflowError("the vocabulary lacks a byte")
+        # The rank, merged id and place of the pair that begins at a place; the places behind and before it.
+        pairs = np.full((width, n), _NO_PAIR)
+        here = self.starts[letters[:-1], letters[1:]]
+        pairs[:-1] = np.where(stands[1:] & (here != _NO_PAIR), here << 8 | places[:-1], _NO_PAIR)
+        after, before = np.repeat(places + 1, n, 1), np.repeat(places - 1, n, 1)
+
+        def pair(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+            found = self.ranked(left << 20 | right)
+            return np.where(found == _NO_PAIR, _NO_PAIR, found << 8 | at)
+
+        while True:
+            best = pairs.min(0)
+            w = every[best != _NO_PAIR]
+            if not len(w):
+                break
+            best = best[w]
+            i, new = best & 0xFF, best >> 8 & 0xFFFFF
+            j = after[i, w]
+            k = after[j, w]
+            ids[i, w], after[i, w] = new, k
+            stands[j, w], pairs[j, w], pairs[i, w] = False, _NO_PAIR, _NO_PAIR
+            more = k < lengths[w]
+            a, b, c = i[more], k[more], w[more]
+            before[b, c] = a
+            pairs[a, c] = pair(new[more], ids[b, c], a)
+            h = before[i, w]
+            more = h >= 0
+            a, c = h[more], w[more]
+            pairs[a, c] = pair(ids[a, c], new[more], a)
+        return ids.T[stands.T], stands.sum(0)
+
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """Words with their ids as a minimal acyclic transducer in flat little-endian arrays.
@@ -208,6 +333,11 @@ class Lexicon:
         self.ends, (self.labels_at, _) = whole[slice(*views[5])], views[6]
 
         self.leads = self._leads(LEAD)
+        # A state and a letter as state << 8 | letter: ascending, as states are laid out in order and their letters ascend.
+        first = np.asarray(self.first).astype(np.int64)
+        self.edges = np.append(np.repeat(np.arange(len(first) - 1) << 8, np.diff(first)) | np.frombuffer(self.map, np.uint8, first[-1], self.labels_at), _NO_PAIR)
+        offsets = np.asarray(self.offsets)
+        self.lists = lists_of_ids(np.asarray(self.ids), np.diff(offsets))
 
     def _leads(self, length: int) -> dict[bytes, tuple[int, int]]:
         """State and number behind each beginning of ``length`` bytes: where to start for longer words."""
@@ -243,6 +373,24 @@ class Lexicon:
             return None
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tobytes()
 
+    def numbers(self, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers of many words, each so many bytes of data from where it begins; -1 for those that are not in the lexicon."""
+        found, ends = np.full(len(lengths), -1), np.asarray(self.ends)
+        targets, skips = np.asarray(self.targets), np.asarray(self.skips)
+        w = np.arange(len(lengths))
+        state, number, i = np.full(len(w), self.start), np.zeros(len(w), np.int64), 0
+        while len(w):
+            over = lengths[w] == i
+            accepted = over & (ends[state] != 0)
+            found[w[accepted]] = number[accepted]
+            w, state, number = w[~over], state[~over], number[~over]
+            edge = state << 8 | data[begins[w] + i]
+            e = np.searchsorted(self.edges, edge)
+            goes = self.edges[e] == edge
+            w, e = w[goes], e[goes]
+            state, number, i = targets[e].astype(np.int64), number[goes] + skips[e], i + 1
+        return found
+
 
 class Codec:
     """Encodes whole texts to ids (as little-endian bytes) and back."""
@@ -258,9 +406,7 @@ class Codec:
         self.plain, self.spaced, self.words = _Memory(self._at_start), _Memory(self._behind_space), _Memory(self._word, MEMORY // 10)
         self.newline = self._piece("\n")
         self._spec, self._library = spec, None
-        self.flat = np.frombuffer(b"".join(self.merges.token_bytes), np.uint8)
-        self.lengths = np.array([len(b) for b in self.merges.token_bytes])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.tokens = pa.array(self.merges.token_bytes, pa.large_binary())
 
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
@@ -313,27 +459,88 @@ class Codec:
         known = self.merges.token_bytes
         return [known[i] for i in array("I", ids)]
 
-    def raw(self, ids: bytes) -> bytes:
+    def raw(self, ids: bytes | np.ndarray) -> bytes:
         """The bytes of all tokens, gathered at once."""
         i = np.frombuffer(ids, np.uint32)
         if not len(i):
             return b""
-        lengths = self.lengths[i]
-        ends = np.cumsum(lengths)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[i] - ends + lengths, lengths)].tobytes()
+        offsets, data = bytes_of(self.tokens.take(pa.array(i)))
+        return data.slice(0, int(offsets[-1])).to_pybytes()
 
     def decode(self, ids: bytes) -> str:
         return self.raw(ids).decode("utf-8", "replace")
 
 
-def cut_piece(piece: str, pretokens) -> list[str]:
-    """The pre-tokens of a text without white space but a first space; letters alone, or letters and a stop, need no pattern."""
-    bare = piece[1:] if piece[:1] == " " else piece
-    if bare.isalpha():
-        return [piece]
-    if bare[:-1].isalpha() and bare[-1] in _STOPS:
-        return [piece[:-1], piece[-1]]
-    return pretokens(piece)
+    def odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are not to be cut at spaces and newlines: those with special tokens, characters that are not settled, or white space that adjoins."""
+        offsets, data = flat(texts)
+        found = np.zeros(len(texts), bool)
+        text_of = lambda at: np.searchsorted(offsets, at, "right") - 1
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        at = np.flatnonzero(space[:-1] & space[1:])
+        a = text_of(at)
+        found[a[a == text_of(at + 1)]] = True
+        for token in self.merges.special:
+            found |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        # Characters from U+0540 on begin with 0xD5 or more; the white space below that is not ASCII, with 0xC2.
+        look = data >= 0xD5
+        look[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+        for k in np.unique(text_of(np.flatnonzero(look))).tolist():
+            if not found[k]:
+                text = texts[k].as_py()
+                found[k] = bool(_SETTLED.search(text) or _ADJACENT.search(text))
+        return found
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of many texts: as encode() has them."""
+        odd = self.odd(texts)
+        pieces, first = pieces_of(texts.filter(pa.array(~odd)))
+        coded = pieces.dictionary_encode()
+        offsets, data = bytes_of(self._pieces(coded.dictionary).take(coded.indices))
+        ids, ends, out, k = np.frombuffer(data, np.uint32, int(offsets[-1]) // 4), (offsets[first] // 4).tolist(), [], 0
+        for at, is_odd in enumerate(odd.tolist()):
+            if is_odd:
+                out.append(np.frombuffer(self.encode(texts[at].as_py()), np.uint32))
+            else:
+                out.append(ids[ends[k] : ends[k + 1]])
+                k += 1
+        return out
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        words, counts = cut_pieces(pieces, self.pretokens)
+        coded = words.dictionary_encode()
+        offsets, data = bytes_of(self._words(coded.dictionary).take(coded.indices))
+        ends = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=ends[1:])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets[ends]), data])
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        offsets, data = flat(words)
+        begins, lengths = offsets[:-1], np.diff(offsets)
+        if not self.lexicon:
+            return self.merges.words(data, begins, lengths)
+        number = self.lexicon.numbers(data, begins, lengths)
+        rest = np.flatnonzero(number < 0)
+        number[rest] = len(self.lexicon.lists) + np.arange(len(rest))
+        return pa.concat_arrays([self.lexicon.lists, self.merges.words(data, begins[rest], lengths[rest])]).take(pa.array(number))
+
+
+def cut_pieces(pieces: pa.Array, pretokens) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of all pieces (none empty), and how many each piece has. Letters alone, or letters and a stop, need no pattern."""
+    offsets, data = flat(pieces)
+    simple = pc.match_substring_regex(pieces, _SIMPLE).to_numpy(zero_copy_only=False)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    last = offsets[1:] - 1
+    begins[last[simple & np.isin(data[last], _STOP_BYTES)]] = True
+    rest = np.flatnonzero(~simple)
+    for at, piece in zip(offsets[rest].tolist(), pieces.take(pa.array(rest)).to_pylist(), strict=True):
+        for word in pretokens(piece):  # together they are the piece
+            begins[at] = True
+            at += len(word) if word.isascii() else len(word.encode("utf-8"))
+    at = np.flatnonzero(begins)
+    words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+    return words, np.diff(np.searchsorted(at, offsets))
 
 
 def codec_of(sent, make) -> Codec:
@@ -371,31 +578,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         import regex
 
-        pretokens, lead, rest = regex.compile(PRETOKEN).findall, Counter(), Counter()
+        pretokens, held, rows, read = regex.compile(PRETOKEN).findall, [], 0, 0
+
+        def total(parts):
+            return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         def words():
-            total: dict[str, int] = {}
-            for space, pieces in (("", lead), (" ", rest)):
-                for p, n in pieces.items():
-                    for w in cut_piece(space + p, pretokens):
-                        if len(w) <= LONGEST:
-                            total[w] = total.get(w, 0) + n
-                pieces.clear()
-            return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
-
-        read = 0
+            pieces = total(held)
+            found, counts = cut_pieces(pieces["word"].combine_chunks(), pretokens)
+            each = pa.table({"word": found, "n": np.repeat(pieces["n"].to_numpy(), counts)}).filter(pc.less_equal(pc.utf8_length(found), LONGEST))
+            return total([each]).cast(pa.schema({"word": pa.string(), "n": pa.int64()})).combine_chunks().to_batches()
+
         for b in batches:
-            for x in b.column(0):
-                text = x.as_py() or ""
-                for line in text.split("\n"):
-                    pieces = line.split(" ")
-                    lead[pieces[0]] += 1
-                    rest.update(pieces[1:])
-                read += len(text)
-                if len(rest) + len(lead) >= MEMORY or read >= HELD_TEXT:
-                    yield words()
-                    read = 0
-        yield words()
+            for texts in groups(b.column(0)):
+                coded = pieces_of(texts)[0].dictionary_encode()
+                part = pa.table({"word": coded.dictionary, "n": np.bincount(coded.indices, minlength=len(coded.dictionary))})
+                held.append(part.filter(pc.not_equal(part["word"], "\n")))
+                rows, read = rows + len(part), read + flat(texts)[0][-1]
+                if rows >= 3 * MEMORY or read >= HELD_TEXT:
+                    yield from words()
+                    held, rows, read = [], 0, 0
+        if held:
+            yield from words()
 
     return docs.select("text").mapInArrow(tidy(count), "word string, n bigint").filter("length(word) > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -441,9 +645,9 @@ def build_lexicon(docs: DataFrame, spec: bytes, size: int = LEXICON_WORDS) -> by
     def make(batches):
         merges, words = Merges(sent.value), {}
         for b in batches:
-            for w in b.column(0).to_pylist():
-                raw = w.encode("utf-8")
-                words[raw] = merges.word(raw)
+            offsets, data = flat(b.column(0))
+            ids = merges.words(data, offsets[:-1], np.diff(offsets)).to_pylist()
+            words.update(zip(map(str.encode, b.column(0).to_pylist()), (np.frombuffer(x, np.uint32).tolist() for x in ids), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([compile_lexicon(words)], pa.binary())], ["lexicon"])
 
     made = frequent_words(docs, size).coalesce(1).mapInArrow(tidy(make), "lexicon binary").collect()
@@ -466,15 +670,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXIC
         codec = codec_of(sent, lambda v: Codec(*v))
         for b in batches:
             n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-            for x in b.column(1):
-                ids = codec.encode(x.as_py())
+            for ids in (x for texts in groups(b.column(1)) for x in codec.encode_all(texts)):
                 raw = codec.raw(ids)
                 text = raw.decode("utf-8", "replace")
-                n.append(len(ids) // 4)
+                n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(text.encode("utf-8") if "\ufffd" in text else raw).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(ids.tobytes())
                     all_text.append(text)
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -4,10 +4,14 @@ import hashlib
 import math
 import os
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,6 +338,93 @@ def test_transducer_accepts_its_words_only():
     assert len(blob) <= plain  # equal suffixes share states
 
 
+class RunHere:
+    """Stands for a table of one batch: what is mapped over it runs in this process."""
+
+    def __init__(self, batch):
+        self.batch, self.value = batch, None
+        self.sparkSession = self.sparkContext = self
+        self.schema = {"doc_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def select(self, *columns):
+        return RunHere(self.batch.select(columns))
+
+    def mapInArrow(self, run, schema):
+        self.value = list(run(iter([self.batch])))
+        return self
+
+    def filter(self, *_):
+        return self
+
+    groupBy = agg = filter
+
+
+def test_bpe_takes_no_steps_of_python_for_each_word(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (6000, 7))]
+    texts = [" ".join(words[k : k + 60]) for k in range(0, 6000, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    lexicon = bpe.compile_lexicon({b" " + w.encode(): [k] for k, w in enumerate(words[:100])})
+    monkeypatch.setattr(bpe, "build_lexicon", lambda *_: lexicon)
+    codec, calls = bpe.Codec(bpe.read_spec(TOKENIZER), lexicon), Counter()
+    monkeypatch.setattr(bpe, "codec_of", lambda *_: codec)
+    for run in (lambda: bpe.word_counts(RunHere(batch)), lambda: bpe.encode_documents(RunHere(batch), TOKENIZER)):
+        calls.clear()
+        sys.setprofile(lambda frame, event, _: calls.update([event]) if frame.f_code.co_filename == bpe.__file__ else None)
+        try:
+            run()
+        finally:
+            sys.setprofile(None)
+        assert calls["call"] < len(words) / 4, calls
+
+
+def test_bpe_many_texts_at_once_equal_the_library():
+    from tokenizers import Tokenizer
+
+    t, spec, rng = Tokenizer.from_file(TOKENIZER), bpe.read_spec(TOKENIZER), np.random.default_rng(6)
+    parts = ["a", "th", "ing", "é", "ñ" * 33, "日本", "한", "'s", "1", "½", ".", ",", "!", "-", "x" * 70, "ab" * 40, "\x00", "\u0300", " ", " ", " ", "\n"]
+    odd = ["  ", "\n\n", "\xa0 ", "\x85", "\u3000", "\u0558", "😀", "<|endoftext|>"]
+    merges = bpe.Merges(spec)
+    lexicon = bpe.compile_lexicon({w.encode(): merges.word(w.encode()) for w in [" th", "thing", "a", " a", "é", "."]})
+    texts = [None, "", " ", "\n", " a", "a ", "\na", "a\n", "<|endoftext|>"]
+    for k in range(300):
+        text = "".join(rng.choice(parts + odd * (k % 3 == 0), rng.integers(0, 40)).tolist())
+        texts.append(text if k % 3 == 0 else re.sub(r"\s+", lambda m: m[0][0], text))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for codec in (bpe.Codec(spec), bpe.Codec(spec, lexicon)):
+        for kind, room in ((pa.string(), 1), (pa.string(), 500), (pa.large_string(), 1 << 23)):
+            column = pa.array(["cut off", *texts], kind).slice(1)
+            assert 0.1 < codec.odd(column).mean() < 0.5
+            got = [ids for some in bpe.groups(column, room) for ids in codec.encode_all(some)]
+            assert [x.tolist() for x in got] == want
+            assert [codec.decode(x) for x in got] == [t.decode(x, skip_special_tokens=False) for x in want]
+        for few in ([], [None], ["", ""], ["a  b"]):
+            assert [x.tolist() for x in codec.encode_all(pa.array(few, pa.string()))] == [t.encode(x or "", add_special_tokens=False).ids for x in few]
+
+
+def test_bpe_words_merged_and_looked_up_together():
+    merges, rng = bpe.Merges(bpe.read_spec(TOKENIZER)), np.random.default_rng(7)
+    words = [bytes(w) for n in rng.integers(0, 90, 1500).tolist() for w in [rng.choice(list(b"abething s\xc3\xa9"), n).astype(np.uint8)]]
+    words += [b"a" * n for n in range(130)] + [b"ab" * n for n in range(70)]
+    data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    begins = np.cumsum(lengths) - lengths
+    assert [np.frombuffer(x, "<u4").tolist() for x in merges.words(data, begins, lengths).to_pylist()] == [merges.word(w) for w in words]
+    lexicon = bpe.Lexicon(bpe.compile_lexicon({w: [k, k] for k, w in enumerate(words[::2])}))
+    numbers = lexicon.numbers(data, begins, lengths).tolist()
+    lists = lexicon.lists.to_pylist()
+    assert [lists[n] if n >= 0 else None for n in numbers] == [lexicon.find(w) for w in words] and -1 in numbers
+
+
+def test_letters_of_arrow_are_those_of_the_pattern():
+    import regex
+
+    settled = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not bpe._SETTLED.search(chr(c))]
+    assert pc.match_substring_regex(pa.array(settled), bpe._SIMPLE).to_pylist() == [bool(regex.fullmatch(r"\p{L}", c)) for c in settled]
+
+
 def test_token_counts_sum_and_follow_the_rule(docs, corpus):
     from tokenizers import Tokenizer
 
