@@ -17,6 +17,7 @@ distinct tokens, cut by ranges of their 64-bit hash, as packed arrays; each rang
 go back to the blocks. Pairs go the same way: each range sums its pairs, makes its segment of the filter, asks it for the
 pairs of every block and sends their levels back; one block is named for each learned pair, and what the named blocks say of their pairs gives the
 sums of every history, by ranges of tokens again. The filter is never whole in one place, so no pair has to be left out, and a range holds as much at any size of the corpus.
+What a step has read goes when it ends (its shuffle files, the rows of tokens once they are summed), so that the disk holds a step's data and not all steps'.
 
 Tokens are told apart by 64-bit hashes, pairs by 48 bits of theirs within a filter: among a billion types two meet with probability 0.03.
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, id_remainder, work_folder
+from .common import LOWER, UPPER, brief_shuffles, id_remainder, remove, work_folder
 from .worker import give_back, tidy
 
 #: Text bytes of a block: what a scoring task holds at a time, besides one longer text.
@@ -141,7 +142,8 @@ def _texts(table) -> list[str]:
 
 def _write(df: DataFrame, folder: str, partition: str | None = None) -> DataFrame:
     writer = df.write
-    (writer.partitionBy(partition) if partition else writer).parquet(folder)
+    with brief_shuffles(df.sparkSession):
+        (writer.partitionBy(partition) if partition else writer).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -385,6 +387,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, held_out: int = 0, alpha
     back = "block bigint, part int, n bigint, counts binary"
     summed = _write(packed.filter("kind = 'tokens'").drop("kind").groupBy("part").applyInArrow(_sum_tokens, f"{back}, known bigint, total bigint"), f"{folder}/sums")
     known, total = summed.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    remove(docs.sparkSession, f"{folder}/blocks/kind=tokens")
 
     levels = blocks.mapInArrow(tidy(_block_pairs(parts)), _SENT_SQL).groupBy("part").applyInArrow(_pair_levels, back)
     levels = _write(levels, f"{folder}/levels")

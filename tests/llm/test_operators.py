@@ -5,6 +5,7 @@ import math
 import os
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -580,6 +581,31 @@ def test_language_model_tells_documents_that_occur_twice(spark):
     assert sum(g > once[int(0.95 * len(once))] for g in twice) > 0.9 * len(twice)
 
 
+def test_language_model_steps_leave_no_shuffle_files(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+", disk.getAllFiles().mkString(" ")))
+    before, setting = shuffles(), spark.conf.get(key, None)
+    counts = spark.range(10_000, numPartitions=3).groupBy((F.col("id") % 100).alias("k")).count()
+    written = lm._write(counts, str(tmp_path / "counts"))
+    deadline = time.monotonic() + 10
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert shuffles() <= before
+    assert written.count() == 100
+    with pytest.raises(Exception, match="counts"):
+        lm._write(counts, str(tmp_path / "counts"))
+    assert spark.conf.get(key, None) == setting
+
+
+def test_language_model_drops_token_rows_once_summed(docs, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "work_folder", lambda *_: str(tmp_path / "lm"))
+    scored = lm.score_documents(docs)
+    assert (tmp_path / "lm/blocks/kind=docs").exists() and not (tmp_path / "lm/blocks/kind=tokens").exists()
+    first, again = (sorted((str(r.doc_id), r.n_tokens, r.score) for r in scored.collect()) for _ in range(2))
+    assert first == again and len(first) == len(corpus)
+
+
 def test_bloom_admits_hardly_any_other_pair():
     rng = np.random.default_rng(8)
     pairs = np.unique(rng.integers(0, 1 << lm.PAIR_BITS, 100_000, dtype=np.uint64))
